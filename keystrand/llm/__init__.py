@@ -1,0 +1,8 @@
+"""Training-data operators.  Self-contained: nothing outside imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel by value, so executors need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
