@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .common import table
+from .covertree_topk import top_k
+from .itq_dedup import embedding_dedup
 from .license_scan import scan_licenses
 from .pareto_mix import mix_sources
+from .quality_pu import score_quality, train_quality
+from .site_style_tree import extract_main_text
 from .url_rules import judge_urls, rules_frame
 
 URL_RULES = [
@@ -20,6 +24,15 @@ URL_RULES = [
 ]
 
 
+def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,14 +47,26 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules_frame(spark, URL_RULES))
 
 
+def op7_covertree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_quality_pu": op1_quality_pu,
+    "op2_itq_dedup": op2_itq_dedup,
     "op3_bpe": op3_bpe,
     "op4_pareto_mix": op4_pareto_mix,
     "op6_url_rules": op6_url_rules,
+    "op7_covertree_topk": op7_covertree_topk,
     "op8_license_scan": op8_license_scan,
+    "op9_site_style_tree": op9_site_style_tree,
 }
 ORACLES: dict[str, str] = {}
