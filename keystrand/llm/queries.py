@@ -13,6 +13,7 @@ from .license_scan import scan_licenses
 from .pareto_mix import mix_sources
 from .quality_pu import score_quality, train_quality
 from .site_style_tree import extract_main_text
+from .tgm_jaccard import jaccard_components
 from .url_rules import judge_urls, rules_frame
 
 URL_RULES = [
@@ -59,6 +60,10 @@ def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_tgm_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_pu": op1_quality_pu,
     "op2_itq_dedup": op2_itq_dedup,
@@ -68,5 +73,6 @@ QUERIES = {
     "op7_covertree_topk": op7_covertree_topk,
     "op8_license_scan": op8_license_scan,
     "op9_site_style_tree": op9_site_style_tree,
+    "op10_tgm_jaccard": op10_tgm_jaccard,
 }
 ORACLES: dict[str, str] = {}
