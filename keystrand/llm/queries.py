@@ -12,6 +12,7 @@ from .itq_dedup import embedding_dedup
 from .license_scan import scan_licenses
 from .pareto_mix import mix_sources
 from .quality_pu import score_quality, train_quality
+from .rindex_dedup import dedup_substrings
 from .site_style_tree import extract_main_text
 from .tgm_jaccard import jaccard_components
 from .url_rules import judge_urls, rules_frame
@@ -44,6 +45,10 @@ def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules_frame(spark, URL_RULES))
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_itq_dedup": op2_itq_dedup,
     "op3_bpe": op3_bpe,
     "op4_pareto_mix": op4_pareto_mix,
+    "op5_rindex_dedup": op5_rindex_dedup,
     "op6_url_rules": op6_url_rules,
     "op7_covertree_topk": op7_covertree_topk,
     "op8_license_scan": op8_license_scan,
