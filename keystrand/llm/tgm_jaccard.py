@@ -12,8 +12,8 @@ from .shingles import set_digest, shingle_set
 
 #: Tokens that go to the end of the order, the most frequent of the corpus; a bounded list.
 MAX_FREQUENT = 200_000
-#: Tokens that a map task counts, or packs, at a time.
-CHUNK_TOKENS = 1_500_000
+#: Tokens that a map task packs at a time, and that it counts at a time.
+CHUNK_TOKENS, COUNT_TOKENS = 1_500_000, 4_000_000
 #: A set of ids up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -37,7 +37,7 @@ def _narrow_pass(batches):
 
     def frequent():
         tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        many = n >= 4
+        many = n >= 2
         t, c = tokens[many].view(np.int64), n[many]
         none = pa.nulls(len(t), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(t), pa.binary()), none, pa.array(t), pa.array(c.astype(np.int64))], names=["id", "n", "sig", "cls", "token", "cnt"])
@@ -50,7 +50,7 @@ def _narrow_pass(batches):
             sig.append(set_digest(s) if len(s) else None)
             held.append(s)
             size += len(s)
-            if size >= CHUNK_TOKENS:
+            if size >= COUNT_TOKENS:
                 yield frequent()
                 held, size = [], 0
         none = pa.nulls(b.num_rows, pa.int64())
@@ -217,6 +217,16 @@ def _open_groups(num: int, den: int):
     return run
 
 
+def _apart(pairs: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose classes no links connect yet, with their groups ``ga`` and ``gb``."""
+    group = classes.join(components(links).withColumnRenamed("node", "rep"), "rep").select("cls", "component")
+    group = checkpointed(group)
+    for c, g in (("a", "ga"), ("b", "gb")):
+        own = group.select(F.col("cls").alias(c), F.col("component").alias(g))
+        pairs = pairs.join(own, c, "left").withColumn(g, F.coalesce(g, -1 - F.abs(F.xxhash64(c))))
+    return pairs.where("ga <> gb")
+
+
 def _with_class(batches):
     for b in batches:
         cls = [_class_of(set_digest(x)) if len(x := shingle_set(t.as_py())) else None for t in b.column(0)]
@@ -316,7 +326,16 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ceil = lambda c: F.ceil(c * F.lit(num) / F.lit(den))
     overlap = F.ceil((F.col("na") + F.col("nb")) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
     most = F.col("shared") + F.greatest(ceil(F.col("na")), ceil(F.col("nb"))) - 1
-    links = links.unionAll(verified(pairs.where((F.col("fits") == 1) & (most >= overlap)).select("a", "b")))
+    left = checkpointed(pairs.where((F.col("fits") == 1) & (most >= overlap)).select("a", "b", "shared"))
+
+    # of the members of an opened group the one that shares most is tried first; where it links, the
+    # group takes the class in, and the other members need no trial
+    apart = _apart(left, classes, links)
+    best = apart.groupBy("a", "gb").agg(F.max_by("b", F.struct("shared", "b")).alias("b")).select("a", "b")
+    best = best.unionAll(apart.groupBy("b", "ga").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")).distinct()
+    best = checkpointed(best)
+    links = checkpointed(links.unionAll(verified(best)))
+    links = links.unionAll(verified(_apart(left, classes, links).select("a", "b").join(best, ["a", "b"], "left_anti")))
 
     # an id with several texts ties their classes together
     several = narrow.where("id is not null").groupBy("id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("id")
