@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Points of one cover tree; queries of one group; trees that one task searches in turn.
-TREE_ROWS, QUERY_ROWS, TREES_PER_TASK = 2048, 512, 16
-LEAF_ROWS, BASE = 24, 1.5
+TREE_ROWS, QUERY_ROWS, TREES_PER_TASK = 2048, 8192, 4
+LEAF_ROWS, BASE = 256, 1.3
+#: Children of fewer points are pooled into leaves.
+LEAST_CHILD = 32
+#: Score of a free slot; real scores are above it.
+FREE = -(2**62)
 
 
 class Node:
@@ -23,8 +27,10 @@ def build_cover_tree(x: np.ndarray) -> Node:
     """Cover tree of the rows of ``x``.
 
     The children of a node are centres farther apart than the covering radius of the next level
-    (this node's radius divided by ``BASE``), each with the points nearest to it.  Children of a
-    single point are pooled in one leaf.
+    (this node's radius divided by ``BASE``), each with the points nearest to it.  Children of fewer
+    than ``LEAST_CHILD`` points, which many dimensions make of most points, are pooled in order of
+    their centres into leaves of up to ``LEAF_ROWS`` points, so that a pair of leaves is worth one
+    matrix product.
     """
 
     def grow(points: np.ndarray, center: int) -> Node:
@@ -42,39 +48,52 @@ def build_cover_tree(x: np.ndarray) -> Node:
         if len(centers) == 1:
             return node
         sizes = np.bincount(owner, minlength=len(centers))
-        single = points[sizes[owner] == 1]
-        node.children = [grow(points[owner == k], c) for k, c in enumerate(centers) if sizes[k] > 1]
-        if len(node.children) == 1 and not len(single):
-            node.children = []
-        elif len(single):
-            pool = Node(x, center, single, node.radius)
-            node.children.append(pool)
+        small = sizes[owner] < LEAST_CHILD
+        node.children = [grow(points[owner == k], c) for k, c in enumerate(centers) if sizes[k] >= LEAST_CHILD]
+        pooled = points[small][np.argsort(owner[small], kind="stable")]
+        if not node.children and len(pooled) <= LEAF_ROWS:
+            return node
+        for at in range(0, len(pooled), LEAF_ROWS):
+            part = pooled[at : at + LEAF_ROWS]
+            leaf = Node(x, int(part[0]), part, float(np.sqrt(((x[part] - x[part[0]]) ** 2).sum(1)).max()))
+            node.children.append(leaf)
         return node
 
     return grow(np.arange(len(x)), int(((x - x.mean(0)) ** 2).sum(1).argmin()))
 
 
 class TopK:
-    """Best ``k`` (score, id) of each query: higher scores first, ties to the smaller id."""
+    """Best ``k`` (score, id) of each query: higher scores first, ties to the smaller id.
+
+    ``scores`` and ``ids`` have a row per query; free slots score below every candidate.
+    """
 
     def __init__(self, q: np.ndarray, qid: np.ndarray, k: int):
         self.q, self.qid, self.k = q, qid, k
-        self.rows = np.zeros((0, 3), np.int64)  # query, score, id
+        self.scores = np.full((len(q), k), FREE, np.int64)
+        self.ids = np.full((len(q), k), np.iinfo(np.int64).max)
         self.worst = np.full(len(q), -np.inf)
+        self.largest = np.abs(q).max(initial=0)
 
     def offer(self, qi: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
-        big = max(np.abs(self.q).max(initial=0), np.abs(x).max(initial=0)) ** 2 * max(1, x.shape[1]) >= 2.0**53
-        s = self.q[qi].astype(np.int64) @ x.T.astype(np.int64) if big else self.q[qi] @ x.T
-        a, b = np.nonzero((s >= self.worst[qi][:, None]) & (self.qid[qi][:, None] != ids[None, :]))
-        if not len(a):
+        exact = self.largest * np.abs(x).max(initial=0) * max(1, x.shape[1]) < 2.0**53
+        s = (self.q[qi] @ x.T).astype(np.int64) if exact else self.q[qi].astype(np.int64) @ x.T.astype(np.int64)
+        s[self.qid[qi][:, None] == ids[None, :]] = FREE
+        better = s.max(1) >= self.worst[qi]
+        if not better.any():
             return
-        rows = np.concatenate([self.rows, np.stack([qi[a], s[a, b].astype(np.int64), ids[b]], 1)])
-        rows = rows[np.lexsort((rows[:, 2], -rows[:, 1], rows[:, 0]))]
-        start = np.searchsorted(rows[:, 0], rows[:, 0])
-        rank = np.arange(len(rows)) - start
-        full = rows[rank == self.k - 1]
-        self.worst[full[:, 0]] = full[:, 1]
-        self.rows = rows[rank < self.k]
+        qi, s = qi[better], s[better]
+        s = np.concatenate([self.scores[qi], s], 1)
+        i = np.concatenate([self.ids[qi], np.where(s[:, self.k :] == FREE, np.iinfo(np.int64).max, ids)], 1)
+        order = np.lexsort((i, -s), axis=1)[:, : self.k]
+        self.scores[qi], self.ids[qi] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        last = self.scores[qi, -1]
+        self.worst[qi] = np.where(last == FREE, -np.inf, last)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query ids, candidate ids and scores of the filled slots."""
+        a, b = np.nonzero(self.scores != FREE)
+        return self.qid[a], self.ids[a, b], self.scores[a, b]
 
     def search(self, qnode: Node, rnode: Node, x: np.ndarray, ids: np.ndarray) -> None:
         """Descends pairs of nodes, best bound first; a pair goes if its bound is under the group's worst kth score."""
@@ -111,7 +130,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     Null vectors, vectors that hold null or non-finite components, and rows of null id take no part;
     vectors of different lengths are not compared; rows that agree in id and vector count once, rows
     of the query's own id never count.  Fewer than ``k`` candidates give fewer rows; empty tables
-    give an empty result; scores must fit 64 bits; other columns are not read.
+    give an empty result; scores must fit 62 bits; other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
@@ -130,7 +149,8 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
         for at in range(0, len(x), TREE_ROWS):
             part = slice(at, at + TREE_ROWS)
             best.search(qtree, build_cover_tree(x[part]), x[part], ids[part])
-        return pd.DataFrame({"query_id": qid[best.rows[:, 0]], "vec_id": best.rows[:, 2], "score": best.rows[:, 1]})
+        query, found, score = best.rows()
+        return pd.DataFrame({"query_id": query, "vec_id": found, "score": score})
 
     keys = ["dim", "qb", "cb"]
     found = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")

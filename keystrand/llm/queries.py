@@ -81,4 +81,33 @@ QUERIES = {
     "op9_site_style_tree": op9_site_style_tree,
     "op10_tgm_jaccard": op10_tgm_jaccard,
 }
-ORACLES: dict[str, str] = {}
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+ORACLES: dict[str, str] = {
+    "op6_url_rules": rf"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+    SELECT page_id, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM cut
+),
+rules(rule_host, rule_path, v) AS (VALUES {_RULES_SQL}),
+judged AS (
+    SELECT p.page_id, p.host, p.path,
+        (SELECT max_by(rule_host || rule_path, length(rule_host || rule_path)) FROM rules
+         WHERE ends_with('.' || p.host, '.' || rule_host) AND starts_with(p.path, rule_path)) AS rule
+    FROM parts p
+)
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(r.v, 'allow') AS verdict
+FROM judged j LEFT JOIN rules r ON r.rule_host || r.rule_path = j.rule""",
+    "op7_covertree_topk": """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20""",
+}
