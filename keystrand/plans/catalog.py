@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from keystrand.functions.keys import composite_key, key_bytes, split_key
 from keystrand.operators import analytics, forecast, fsck, layout, lookup, merge
 from keystrand.operators.numbering import number_rows
+from keystrand.sources import workloads
+from keystrand.sources.store import KVStore
+from keystrand.streaming import log_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -430,6 +435,60 @@ def _(s, sf):
     return orders(s, sf).orderBy(F.xxhash64("key", F.lit(42)), "key").limit(100)
 
 
+# --- persisted store, workloads, streams -------------------------------------------------------
+
+
+def shared_folder(s: SparkSession) -> str:
+    named = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.checkpoint.dir", None)
+    return f"{named or tempfile.mkdtemp(prefix='ks-')}/store-{uuid.uuid4().hex}"
+
+
+@query("kv_store_reopen", VIEW_SQL)
+def _(s, sf):
+    store = KVStore.open(s, shared_folder(s))
+    store.bulk_load(base(s, sf))
+    store.write(log(s, sf).where("seq < 400"))
+    store.flush()
+    store.write(log(s, sf).where("seq >= 400"))
+    return KVStore.open(s, store.path).view()
+
+
+@query("wal_stream_replay", VIEW_SQL)
+def _(s, sf):
+    folder = shared_folder(s)
+    log(s, sf).write.parquet(f"{folder}/in")
+    store = KVStore.open(s, f"{folder}/kv")
+    store.bulk_load(base(s, sf))
+    log_stream.apply_to_store(log_stream.read_log(s, f"{folder}/in"), store, f"{folder}/checkpoint").awaitTermination()
+    return store.view()
+
+
+def _ycsb(s, name):
+    rank = workloads.latest_rank if name == "d" else workloads.hotspot_rank if name == "hot_middle" else workloads.zipf_rank
+    return workloads.requests(s, [workloads.Phase(workloads.MIXES[name], 10_000, rank)], 20_000)
+
+
+for _name in workloads.MIXES:
+    query(f"ycsb_{_name}" if len(_name) == 1 else _name)(lambda s, sf, m=_name: _ycsb(s, m))
+
+
+@query("phased_workload")
+def _(s, sf):
+    phases = [workloads.Phase(workloads.MIXES["ab"[i % 2]], 2_000) for i in range(5)]
+    return workloads.requests(s, phases, 20_000)
+
+
+@query("gen_zipf")
+def _(s, sf):
+    return s.range(100_000).select("id", workloads.zipf_rank(workloads.unit(F.col("id"), 7), 1000).alias("rank"))
+
+
+@query("workload_run")
+def _(s, sf):
+    rows = workloads.linspace_keys(s, 20_000, step=2).withColumn("value", F.lit(0).cast("long"))
+    return workloads.run_phase(rows, _ycsb(s, "f"), F.col("seq") + 1)[1]
+
+
 # --- analytics -------------------------------------------------------------------------------
 
 
