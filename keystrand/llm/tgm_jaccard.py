@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, components, shuffle_width
 from .shingles import set_digest, shingle_set
 
-#: Tokens that go to the end of the order, the most frequent of the corpus; a bounded list.
-MAX_FREQUENT = 200_000
+#: Cells of the frequency sketch that orders tokens; one byte each, at every size of the corpus.
+CELLS = 1 << 23
 #: Tokens that a map task packs at a time, and that it counts at a time.
 CHUNK_TOKENS, COUNT_TOKENS = 1_500_000, 4_000_000
 #: A set of ids up to this many rows is broadcast; a larger one is joined by shuffle.
@@ -31,16 +31,17 @@ def need_overlap(nx, ny, num: int, den: int):
 
 
 def _narrow_pass(batches):
-    """Per document: id, set size, digest.  Per chunk: tokens that several of its documents hold."""
+    """Per document: id, set size, digest.  Per chunk: cells of the tokens that several of its documents hold."""
     held: list[np.ndarray] = []
     size = 0
 
     def frequent():
         tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         many = n >= 2
-        t, c = tokens[many].view(np.int64), n[many]
+        t, at = np.unique(_cell(tokens[many]), return_inverse=True)
+        c = np.bincount(at, weights=n[many], minlength=len(t))
         none = pa.nulls(len(t), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(t), pa.binary()), none, pa.array(t), pa.array(c.astype(np.int64))], names=["id", "n", "sig", "cls", "token", "cnt"])
+        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(t), pa.binary()), none, pa.array(t), pa.array(c.astype(np.int64))], names=["id", "n", "sig", "cls", "cell", "cnt"])
 
     for b in batches:
         n, sig = [], []
@@ -54,16 +55,20 @@ def _narrow_pass(batches):
                 yield frequent()
                 held, size = [], 0
         none = pa.nulls(b.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array([_class_of(x) if x else None for x in sig], pa.int64()), none, none], names=["id", "n", "sig", "cls", "token", "cnt"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array([_class_of(x) if x else None for x in sig], pa.int64()), none, none], names=["id", "n", "sig", "cls", "cell", "cnt"])
     if held:
         yield frequent()
 
 
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return ((tokens >> np.uint64(7)) % np.uint64(CELLS)).astype(np.int64)
+
+
 def _class_of(sig: bytes) -> int:
     return int.from_bytes(sig[:8], "little", signed=True)
 
 
-def _pack_prefixes(frequent: np.ndarray, rank: np.ndarray, parts: int, num: int, den: int):
+def _pack_prefixes(level: np.ndarray, parts: int, num: int, den: int):
     """Packs the prefixes of sets by part of the token space: one row per chunk of documents and part."""
 
     def run(batches):
@@ -92,15 +97,7 @@ def _pack_prefixes(frequent: np.ndarray, rank: np.ndarray, parts: int, num: int,
                     continue
                 seen.add(c)
                 p = int(prefix_length(len(s), num, den))
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    common = frequent[at] == s
-                    rare = s[~common][:p]
-                    if len(rare) < p:
-                        rest = s[common][np.argsort(rank[at[common]])][: p - len(rare)]
-                        rare = np.concatenate([rare, rest])
-                else:
-                    rare = s[:p]
+                rare = s[np.argsort(level[_cell(s)], kind="stable")[:p]]
                 owners.append(c)
                 sizes.append(len(s))
                 tokens.append(rare)
@@ -260,8 +257,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Documents of equal sets are one class (a 128-bit digest, pre-aggregated map-side); classes are
     joined, and copies take their class's component.
 
-    1. A pass over the texts finds set sizes, digests, and the corpus's most frequent shingles, which
-       go to the end of the global token order (rarest first, ties by hash).
+    1. A pass over the texts finds set sizes, digests, and the shingles that several documents of one
+       chunk hold.  A sketch of their counts in steps of an eighth of a doubling, of ``CELLS`` bytes,
+       gives the global token order (rarest first, ties by hash).  A shingle of f documents is missed
+       only while f is small against the square root of the number of chunks, and shingles that
+       share a cell only move in the order, which changes no result.
     2. A second pass sends each class's prefix, which must share a token with any partner, to the
        tokens' parts of the token space.  Tokens of a single class end there.
     3. Groups: each class is checked with the pivot that it shares most tokens with, and classes that
@@ -281,16 +281,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     num, den = percent, 100
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    narrow = checkpointed(rows.mapInArrow(_narrow_pass, "id long, n long, sig binary, cls long, token long, cnt long"))
-    top = narrow.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")).orderBy(F.col("cnt").desc(), "token").limit(MAX_FREQUENT).toPandas()
-    frequent = top.token.to_numpy(np.int64).view(np.uint64)
-    by_token = np.argsort(frequent)
-    frequent, rank = frequent[by_token], (len(top) - 1 - np.arange(len(top)))[by_token]
-    narrow = narrow.where("token is null").select("id", "n", "sig", "cls")
+    narrow = checkpointed(rows.mapInArrow(_narrow_pass, "id long, n long, sig binary, cls long, cell long, cnt long"))
+    # at most CELLS rows of five bytes, and one byte a cell for each task
+    steps = F.least(F.lit(255), F.ceil(8 * F.log2(F.sum("cnt")))).cast("short")
+    known = narrow.where("cell is not null").groupBy(F.col("cell").cast("int").alias("cell")).agg(steps.alias("level")).toPandas()
+    level = np.zeros(CELLS, np.uint8)
+    level[known.cell.to_numpy(np.int64)] = known.level.to_numpy(np.uint8)
+    narrow = narrow.where("cell is null").select("id", "n", "sig", "cls")
     total = narrow.agg(F.sum(F.floor(F.col("n") / 4) + 1).alias("s")).first()["s"] or 0
     parts = int(max(shuffle_width(spark), total // CHUNK_TOKENS + 1))
 
-    packed = rows.where("id is not null").select("text").mapInArrow(_pack_prefixes(frequent, rank, parts, num, den), "part int, entries binary, owners binary, sizes binary")
+    packed = rows.where("id is not null").select("text").mapInArrow(_pack_prefixes(level, parts, num, den), "part int, entries binary, owners binary, sizes binary")
     runs = checkpointed(packed.groupBy("part").applyInArrow(_shared_runs, "token long, cls long, n long, place long, pivot long"))
 
     members = narrow.where("id is not null and sig is not null").groupBy("sig", "cls").agg(F.min("id").alias("rep"))
