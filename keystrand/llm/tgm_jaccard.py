@@ -113,9 +113,9 @@ def _pack_prefixes(level: np.ndarray, parts: int, num: int, den: int):
 
 
 def _shared_runs(table: pa.Table) -> pa.Table:
-    """Of one part, the entries of tokens that two classes or more hold, with the run's pivot.
+    """Of one part, the entries of tokens that two classes or more hold, with the run's pivots.
 
-    The pivot is the smallest class of the run in the same band of set sizes.
+    The pivots are the smallest and the largest class of the run in the same band of set sizes.
     """
     entry = [np.frombuffer(x, _ENTRY) for x in table.column("entries").to_pylist()]
     owner = [np.frombuffer(x, np.int64) for x in table.column("owners").to_pylist()]
@@ -137,8 +137,10 @@ def _shared_runs(table: pa.Table) -> pa.Table:
     order = np.lexsort((cls, band, token))
     token, cls, n, place, band = token[order], cls[order], n[order], place[order], band[order]
     head = np.concatenate([[True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])]) if len(token) else np.zeros(0, bool)
-    pivot = cls[head][np.cumsum(head) - 1] if len(token) else cls
-    return pa.table({"token": token.view(np.int64), "cls": cls, "n": n, "place": place, "pivot": pivot})
+    low = cls[head][np.cumsum(head) - 1] if len(token) else cls
+    tail = np.roll(head, -1)
+    high = cls[tail][np.cumsum(head) - 1] if len(token) else cls
+    return pa.table({"token": token.view(np.int64), "cls": cls, "n": n, "place": place, "low": low, "high": high})
 
 
 def _open_groups(num: int, den: int):
@@ -264,8 +266,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
        share a cell only move in the order, which changes no result.
     2. A second pass sends each class's prefix, which must share a token with any partner, to the
        tokens' parts of the token space.  Tokens of a single class end there.
-    3. Groups: each class is checked with the pivot that it shares most tokens with, and classes that
-       the links connect are a group of similar documents.  This only saves work.
+    3. Groups: each class is checked with the pivot that it shares most tokens with, and with a second
+       one if that links it with nothing; classes that the links connect are a group of similar
+       documents.  This only saves work.
     4. The token-group matrix has a column per group and a row per token.  For each token and class
        only groups of other columns are opened whose sizes can reach the threshold; the places of
        shared tokens, and their number summed over all tokens, bound a pair's overlap.
@@ -292,7 +295,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     parts = int(max(shuffle_width(spark), total // CHUNK_TOKENS + 1))
 
     packed = rows.where("id is not null").select("text").mapInArrow(_pack_prefixes(level, parts, num, den), "part int, entries binary, owners binary, sizes binary")
-    runs = checkpointed(packed.groupBy("part").applyInArrow(_shared_runs, "token long, cls long, n long, place long, pivot long"))
+    runs = checkpointed(packed.groupBy("part").applyInArrow(_shared_runs, "token long, cls long, n long, place long, low long, high long"))
 
     members = narrow.where("id is not null and sig is not null").groupBy("sig", "cls").agg(F.min("id").alias("rep"))
     members = checkpointed(members)
@@ -313,9 +316,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # groups of similar documents, by the best pivot
     fewest = F.ceil(F.col("n") * F.lit((den - num) * num / (den * (num + den)))) - 1
-    guess = runs.where("cls <> pivot").groupBy("cls", "pivot", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= fewest)
-    guess = guess.groupBy("cls").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
-    links = verified(guess.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct())
+
+    def pivots(rows: DataFrame, pivot: str) -> DataFrame:
+        """Of each class the pivot that it shares most tokens with, if these can be enough."""
+        guess = rows.where(F.col("cls") != F.col(pivot)).groupBy("cls", pivot, "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= fewest)
+        guess = guess.groupBy("cls").agg(F.max_by(pivot, F.struct("shared", pivot)).alias("pivot"))
+        return guess.select("cls", F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
+
+    links = verified(pivots(runs, "low").select("a", "b").distinct())
+    # classes that nothing links yet try a second pivot
+    linked = links.select(F.col("u").alias("rep")).unionAll(links.select(F.col("v").alias("rep"))).distinct()
+    loose = checkpointed(classes.join(linked, "rep", "left_anti").select("cls"))
+    links = checkpointed(links.unionAll(verified(pivots(runs.join(loose, "cls", "left_semi"), "high").select("a", "b").distinct())))
     comp = components(links).withColumnRenamed("node", "rep")
     groups = checkpointed(classes.join(comp, "rep").select("cls", F.col("component").alias("g")))
 
