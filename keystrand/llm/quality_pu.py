@@ -76,14 +76,21 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, roun
     Risk: ``prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)])``.  While the second part is
     negative, a step goes up its gradient, as the non-negative estimator prescribes.
     """
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive.astype(np.float64), unlabelled.astype(np.float64)))
-    w, b = np.zeros(both.shape[1]), np.log(prior / (1 - prior))
+    n = len(positive) + len(unlabelled)
+    mean = (positive.sum(0, dtype=np.float64) + unlabelled.sum(0, dtype=np.float64)) / n
+    spread = sum(np.square(x - mean.astype(np.float32)).sum(0, dtype=np.float64) for x in (positive, unlabelled))
+    scale = np.sqrt(spread / n) + 1e-3
+    # single precision and in place: these are the largest arrays that the driver holds
+    p, u = (x - mean.astype(np.float32) for x in (positive, unlabelled))
+    for x in (p, u):
+        x /= scale.astype(np.float32)
+        np.clip(x, -8, 8, out=x)
+    w, b = np.zeros(p.shape[1]), np.log(prior / (1 - prior))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, rounds + 1):
-        zp, zu = p @ w + b, u @ w + b
+        w32 = w.astype(np.float32)
+        zp, zu = (p @ w32).astype(np.float64) + b, (u @ w32).astype(np.float64) + b
         below = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         g_up = -prior * sigmoid(-zp) / len(p)  # of prior * E_P[l(f)], by zp
         g_np, g_nu = -prior * sigmoid(zp) / len(p), sigmoid(zu) / len(u)  # of the second part
@@ -91,7 +98,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, roun
             dp, du = g_up + g_np, g_nu
         else:
             dp, du = -g_np, -g_nu
-        g = np.append(dp @ p + du @ u + decay * w, dp.sum() + du.sum())
+        g = np.append(dp.astype(np.float32) @ p + du.astype(np.float32) @ u + decay * w, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -140,10 +147,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     got = rows.mapInArrow(_feature_rows, "kind int, x binary").limit(2 * (max_positives + max_unlabelled)).toPandas()
     if not len(got) or not (got.kind == 1).any() or not (got.kind == 0).any():
         return None
-    x = np.frombuffer(b"".join(got.x), np.float32).reshape(len(got), -1)
     # rows arrive in any order; a fixed order makes reruns agree
-    x_of = lambda k: x[(got.kind == k).to_numpy()][np.argsort([v for v in got.x[got.kind == k]])]
-    p, u = x_of(1), x_of(0)
+    got = got.sort_values(["kind", "x"], kind="stable")
+    split = int((got.kind == 0).sum())
+    x = np.frombuffer(b"".join(got.x), np.float32).reshape(len(got), -1)
+    del got
+    u, p = x[:split], x[split:]
     if prior is None:
         tally = {r[label_col]: r["count"] for r in seen.groupBy(label_col).count().collect()}
         both = tally.get(0, 0) and tally.get(1, 0)
