@@ -72,7 +72,7 @@ def _pack_prefixes(level: np.ndarray, parts: int, num: int, den: int):
     """Packs the prefixes of sets by part of the token space: one row per chunk of documents and part."""
 
     def run(batches):
-        owners, sizes, tokens, places, seen, total = [], [], [], [], set(), 0
+        owners, sizes, alone, tokens, places, seen, total = [], [], [], [], [], set(), 0
 
         def flush():
             lengths = np.array([len(t) for t in tokens])
@@ -82,13 +82,13 @@ def _pack_prefixes(level: np.ndarray, parts: int, num: int, den: int):
             order = np.argsort(part, kind="stable")
             e, part = e[order], part[order]
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            own, size = np.array(owners, np.int64), np.array(sizes, np.int64)
+            own, size, lone = np.array(owners, np.int64), np.array(sizes, np.int64), np.array(alone, np.int64)
             rows = []
             for a, z in zip(cut, [*cut[1:], len(e)], strict=True):
                 x = e[a:z].copy()
                 used, x["owner"] = np.unique(x["owner"], return_inverse=True)
-                rows.append((int(part[a]), x.tobytes(), own[used].tobytes(), size[used].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["part", "entries", "owners", "sizes"])
+                rows.append((int(part[a]), x.tobytes(), own[used].tobytes(), size[used].tobytes(), lone[used].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4))], names=["part", "entries", "owners", "sizes", "alone"])
 
         for b in batches:
             for text in b.column(0):
@@ -97,15 +97,17 @@ def _pack_prefixes(level: np.ndarray, parts: int, num: int, den: int):
                     continue
                 seen.add(c)
                 p = int(prefix_length(len(s), num, den))
-                rare = s[np.argsort(level[_cell(s)], kind="stable")[:p]]
+                steps = level[_cell(s)]
+                rare = s[np.argsort(steps, kind="stable")[:p]]
                 owners.append(c)
                 sizes.append(len(s))
+                alone.append(int(np.count_nonzero(steps == 0)) * 65536 // len(s))
                 tokens.append(rare)
                 places.append(np.arange(len(rare)))
                 total += len(rare)
                 if total >= CHUNK_TOKENS // 2:
                     yield flush()
-                    owners, sizes, tokens, places, seen, total = [], [], [], [], set(), 0
+                    owners, sizes, alone, tokens, places, seen, total = [], [], [], [], [], set(), 0
         if tokens:
             yield flush()
 
@@ -115,31 +117,33 @@ def _pack_prefixes(level: np.ndarray, parts: int, num: int, den: int):
 def _shared_runs(table: pa.Table) -> pa.Table:
     """Of one part, the entries of tokens that two classes or more hold, with the run's pivots.
 
-    The pivots are the smallest and the largest class of the run in the same band of set sizes.
+    The pivots are classes of the run in the same band of set sizes: the one with the smallest share of
+    tokens that the sketch does not know, which is likely in the middle of a group, and the largest.
     """
     entry = [np.frombuffer(x, _ENTRY) for x in table.column("entries").to_pylist()]
     owner = [np.frombuffer(x, np.int64) for x in table.column("owners").to_pylist()]
     size = [np.frombuffer(x, np.int64) for x in table.column("sizes").to_pylist()]
+    lone = [np.frombuffer(x, np.int64) for x in table.column("alone").to_pylist()]
     token = np.concatenate([e["token"] for e in entry])
     cls = np.concatenate([o[e["owner"]] for o, e in zip(owner, entry, strict=True)])
     n = np.concatenate([s[e["owner"]] for s, e in zip(size, entry, strict=True)])
+    alone = np.concatenate([x[e["owner"]] for x, e in zip(lone, entry, strict=True)])
     place = np.concatenate([e["place"] for e in entry]).astype(np.int64)
-    del entry, owner, size
+    del entry, owner, size, lone
     order = np.lexsort((cls, token))
-    token, cls, n, place = token[order], cls[order], n[order], place[order]
+    token, cls, n, place, alone = token[order], cls[order], n[order], place[order], alone[order]
     first = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]) if len(token) else np.zeros(0, bool)
-    token, cls, n, place = token[first], cls[first], n[first], place[first]
+    token, cls, n, place, alone = token[first], cls[first], n[first], place[first], alone[first]
     new = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
     run = np.cumsum(new) - 1
     many = (np.bincount(run)[run] > 1) if len(run) else np.zeros(0, bool)
-    token, cls, n, place = token[many], cls[many], n[many], place[many]
+    token, cls, n, place, alone = token[many], cls[many], n[many], place[many], alone[many]
     band = np.floor(np.log(n) / np.log(4 / 3)).astype(np.int64)
-    order = np.lexsort((cls, band, token))
+    order = np.lexsort((cls, alone, band, token))
     token, cls, n, place, band = token[order], cls[order], n[order], place[order], band[order]
     head = np.concatenate([[True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])]) if len(token) else np.zeros(0, bool)
     low = cls[head][np.cumsum(head) - 1] if len(token) else cls
-    tail = np.roll(head, -1)
-    high = cls[tail][np.cumsum(head) - 1] if len(token) else cls
+    high = np.maximum.reduceat(cls, np.flatnonzero(head))[np.cumsum(head) - 1] if len(token) else cls
     return pa.table({"token": token.view(np.int64), "cls": cls, "n": n, "place": place, "low": low, "high": high})
 
 
@@ -294,7 +298,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     total = narrow.agg(F.sum(F.floor(F.col("n") / 4) + 1).alias("s")).first()["s"] or 0
     parts = int(max(shuffle_width(spark), total // CHUNK_TOKENS + 1))
 
-    packed = rows.where("id is not null").select("text").mapInArrow(_pack_prefixes(level, parts, num, den), "part int, entries binary, owners binary, sizes binary")
+    packed = rows.where("id is not null").select("text").mapInArrow(_pack_prefixes(level, parts, num, den), "part int, entries binary, owners binary, sizes binary, alone binary")
     runs = checkpointed(packed.groupBy("part").applyInArrow(_shared_runs, "token long, cls long, n long, place long, low long, high long"))
 
     members = narrow.where("id is not null and sig is not null").groupBy("sig", "cls").agg(F.min("id").alias("rep"))
