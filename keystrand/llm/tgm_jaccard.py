@@ -12,6 +12,8 @@ from .shingles import set_digest, shingle_set
 
 #: Cells of the frequency sketch that orders tokens; one byte each, at every size of the corpus.
 CELLS = 1 << 23
+#: Cells of the sketch that reach the driver as one row of bytes.
+STRIPE = 1 << 15
 #: Tokens that a map task packs at a time, and that it counts at a time.
 CHUNK_TOKENS, COUNT_TOKENS = 1_500_000, 4_000_000
 #: A set of ids up to this many rows is broadcast; a larger one is joined by shuffle.
@@ -64,6 +66,14 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
     return ((tokens >> np.uint64(7)) % np.uint64(CELLS)).astype(np.int64)
 
 
+def _stripe(table: pa.Table) -> pa.Table:
+    """The cells of one stripe of the sketch as bytes."""
+    cell = table.column("cell").to_numpy()
+    level = np.zeros(STRIPE, np.uint8)
+    level[cell % STRIPE] = table.column("level").to_numpy()
+    return pa.table({"stripe": pa.array([int(cell[0]) // STRIPE], pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
+
+
 def _class_of(sig: bytes) -> int:
     return int.from_bytes(sig[:8], "little", signed=True)
 
@@ -289,11 +299,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     num, den = percent, 100
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     narrow = checkpointed(rows.mapInArrow(_narrow_pass, "id long, n long, sig binary, cls long, cell long, cnt long"))
-    # at most CELLS rows of five bytes, and one byte a cell for each task
+    # one byte a cell for the driver and for each task
     steps = F.least(F.lit(255), F.ceil(8 * F.log2(F.sum("cnt")))).cast("short")
-    known = narrow.where("cell is not null").groupBy(F.col("cell").cast("int").alias("cell")).agg(steps.alias("level")).toPandas()
+    known = narrow.where("cell is not null").groupBy(F.col("cell").cast("int").alias("cell")).agg(steps.alias("level"))
+    known = known.groupBy(F.floor(F.col("cell") / STRIPE).alias("stripe")).applyInArrow(_stripe, "stripe int, levels binary")
     level = np.zeros(CELLS, np.uint8)
-    level[known.cell.to_numpy(np.int64)] = known.level.to_numpy(np.uint8)
+    for r in known.toLocalIterator():
+        level[r.stripe * STRIPE : (r.stripe + 1) * STRIPE] = np.frombuffer(r.levels, np.uint8)
     narrow = narrow.where("cell is null").select("id", "n", "sig", "cls")
     total = narrow.agg(F.sum(F.floor(F.col("n") / 4) + 1).alias("s")).first()["s"] or 0
     parts = int(max(shuffle_width(spark), total // CHUNK_TOKENS + 1))
