@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Links of a forest that one task contracts, on average; more links take more tasks and rounds.
+FOREST_LINKS = 500_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,16 +80,20 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Returns ``(node, component)`` for every node of a link, ``component`` being the smallest node
     that it reaches.  Self-links and null ends are ignored.  Each partition first contracts its own
-    links to a forest; alternating large-star and small-star rounds then join the forests, with a
+    links to a forest, and partitions of few links do so together, ``FOREST_LINKS`` of them a task;
+    where several forests are left, alternating large-star and small-star rounds join them, with a
     checkpoint per round.  Rounds are logarithmic in practice; no link is ever collected.
     """
     spark = links.sparkSession
     edges = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null and u <> v")
     edges = checkpointed(edges.mapInArrow(_local_forest, "u long, v long"))
-    if edges.isEmpty():
+    n = edges.count()
+    if not n:
         return spark.createDataFrame([], "node long, component long")
+    tasks = n // FOREST_LINKS + 1
+    edges = checkpointed(edges.coalesce(tasks).mapInArrow(_local_forest, "u long, v long"))
     before = None
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if tasks > 1 else 0):
         # large star: every neighbour above u goes to the smallest of u's closed neighbourhood
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

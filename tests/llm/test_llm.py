@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from keystrand.llm.bpe import encode_decode
+from keystrand.llm import common
 from keystrand.llm.common import components
 from keystrand.llm.covertree_topk import top_k
 from keystrand.llm.itq_dedup import embedding_dedup
@@ -53,6 +54,14 @@ def sets(texts):
     return out
 
 
+@pytest.mark.parametrize("per_task", [1, 500_000])
+def test_components_of_many_forests(spark, monkeypatch, per_task):
+    monkeypatch.setattr(common, "FOREST_LINKS", per_task)
+    links = [(i, i + 1) for i in range(10, 60)] + [(60, 3), (7, 8), (8, 8), (None, 9)]
+    got = dict(map(tuple, common.components(spark.createDataFrame(links, "u long, v long").repartition(5)).collect()))
+    assert got == {**dict.fromkeys([3, *range(10, 61)], 3), 7: 7, 8: 7}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50) if i % 10 != 9] + [(100, 5), (None, 3), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "u long, v long")).distinct().collect()))
