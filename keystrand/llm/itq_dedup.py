@@ -17,30 +17,24 @@ MAX_SAMPLE = 8000
 BLOCK_ROWS = 1024
 
 
-def learn_itq(x: np.ndarray, n_codes: int, *, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """``(mean, projection)``: sign((v - mean) @ projection) has ``n_codes * d`` balanced bits.
+def learn_itq(x: np.ndarray, n_codes: int, *, rounds: int = 30, seed: int = 7) -> np.ndarray:
+    """``projection``: sign(v @ projection) has ``n_codes * d`` bits.
 
-    Each code is iterative quantisation from another random start: rotate the principal components,
-    take signs, and solve for the rotation that brings the components nearest to the signs.
+    Each code is iterative quantisation from another random start: take signs, and solve for the
+    rotation that brings the vectors nearest to the signs.  The vectors are neither centred nor
+    scaled, as both change angles: a rotation keeps the angle that ``table_plan`` counts on,
+    whatever the mean and the spectrum of the vectors.
     """
-    mean = x.mean(0)
-    c = x - mean
-    _, _, axes = np.linalg.svd(c, full_matrices=False)
     d = x.shape[1]
-    if len(axes) < d:
-        axes = np.linalg.qr(np.concatenate([axes, np.eye(d)]).T)[0].T[:d]
-    v = c @ axes.T
-    v = v / (v.std(0) + 1e-9)  # equal variance: no bit is dominated by one direction
     rng = np.random.default_rng(seed)
-    scale = axes.T / (((c @ axes.T).std(0)) + 1e-9)
     out = []
     for _ in range(n_codes):
         r = np.linalg.qr(rng.standard_normal((d, d)))[0]
         for _ in range(rounds):
-            u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+            u, _, w = np.linalg.svd(np.where(x @ r >= 0, 1.0, -1.0).T @ x)
             r = (u @ w).T
-        out.append(scale @ r)
-    return mean, np.concatenate(out, 1)
+        out.append(r)
+    return np.concatenate(out, 1)
 
 
 def table_plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -54,6 +48,39 @@ def table_plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, max(4, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
+def _codes(x: np.ndarray, proj: np.ndarray, bits: int) -> np.ndarray:
+    """The substrings of each vector as numbers, one column per table."""
+    on = (x @ proj >= 0).reshape(len(x), -1, bits)
+    return (on * (1 << np.arange(bits, dtype=np.int64))).sum(2).astype(np.int64)
+
+
+def plan_codes(x: np.ndarray, n: int, threshold: float, recall: float, *, trials: int = 2000, max_tables: int = 400) -> tuple[int, np.ndarray]:
+    """Bits per substring and the projection of all tables, learned on the unit vectors ``x``.
+
+    The number of tables is checked in the code space itself: vectors of ``x`` get partners exactly
+    at the threshold, in random directions and in those of other vectors, and tables of random
+    rotations are added until a share ``recall`` of either kind meets (learned rotations of few
+    dimensions are alike, so that more of them would not help).
+    """
+    dim = x.shape[1]
+    bits, tables = table_plan(n, threshold, recall)
+    proj = learn_itq(x, -(-bits * tables // dim))[:, : bits * tables]
+    rng = np.random.default_rng(11)
+    some = x[:trials]
+    kinds = []
+    for way in (rng.standard_normal(some.shape), x[rng.permutation(len(x))[: len(some)]]):
+        way = way - (way * some).sum(1, keepdims=True) * some
+        size = np.linalg.norm(way, axis=1)
+        good = size > 1e-6
+        if good.any():
+            kinds.append((some[good], threshold * some[good] + math.sqrt(max(0.0, 1 - threshold * threshold)) * way[good] / size[good, None]))
+    while proj.shape[1] < bits * max_tables and any((_codes(a, proj, bits) == _codes(b, proj, bits)).any(1).mean() < recall for a, b in kinds):
+        more = bits * max(1, proj.shape[1] // bits // 4)
+        turns = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-more // dim))]
+        proj = np.concatenate([proj, np.concatenate(turns, 1)[:, :more]], 1)
+    return bits, proj
+
+
 def _components_of(mask: np.ndarray) -> np.ndarray:
     """Smallest reachable row for each row of a symmetric boolean matrix."""
     n = len(mask)
@@ -82,10 +109,8 @@ def _compare_bucket(ids, x, codes, t, side, threshold):
     link &= ids[:, None] != ids[None, :]
     if not link.any():
         return None
-    a, b = np.nonzero(link)
-    if t:
-        early = (codes[a, :t] == codes[b, :t]).any(1)
-        link[a[early], b[early]] = False
+    for s in range(t):
+        link &= codes[:, s, None] != codes[None, :, s]
     count = link.sum(1)
     roots = _components_of(link)
     has = count > 0
@@ -123,9 +148,8 @@ def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         x = np.array(sample.v.tolist())
         x = x / np.abs(x).max(1, keepdims=True)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        bits, tables = table_plan(n, threshold, recall)
-        mean, proj = learn_itq(x, -(-bits * tables // dim))
-        part = _links_of(own, mean, proj[:, : bits * tables], bits, tables, n, threshold)
+        bits, proj = plan_codes(x, n, threshold, recall)
+        part = _links_of(own, proj, bits, threshold)
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = spark.createDataFrame([], "id long, n long, root long")
@@ -137,8 +161,8 @@ def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _links_of(own: DataFrame, mean, proj, bits: int, tables: int, n: int, threshold: float) -> DataFrame:
-    weights = 1 << np.arange(bits, dtype=np.int64)
+def _links_of(own: DataFrame, proj, bits: int, threshold: float) -> DataFrame:
+    tables = proj.shape[1] // bits
 
     def code(batches):
         for b in batches:
@@ -147,8 +171,7 @@ def _links_of(own: DataFrame, mean, proj, bits: int, tables: int, n: int, thresh
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             x = x / np.abs(x).max(1, keepdims=True)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            on = ((x - mean) @ proj >= 0).reshape(len(x), tables, bits)
-            codes = (on * weights).sum(2).astype(np.int64)
+            codes = _codes(x, proj, bits)
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.ListArray.from_arrays(offsets, pa.array(codes.ravel())), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "codes", "x"]

@@ -188,6 +188,26 @@ def test_vectors(spark):
     assert sorted(map(tuple, top_k(vectors).collect())) == sorted(expected)
 
 
+@pytest.mark.parametrize("case", ["hot group", "skewed spectrum", "at the threshold", "few dimensions"])
+def test_vector_links_recall(spark, case):
+    rng = np.random.default_rng(5)
+    d = 4 if case == "few dimensions" else 32
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def near(v, low, high):
+        side = rng.standard_normal(v.shape)
+        cos = rng.uniform(low, high, (len(v), 1))
+        return cos * v + np.sqrt(1 - cos**2) * unit(side - (side * v).sum(1, keepdims=True) * v)
+
+    x = unit(rng.standard_normal((800, d)) / (np.arange(1, d + 1) if case == "skewed spectrum" else 1))
+    more = {"hot group": lambda: near(np.repeat(x[:1], 400, 0), 0.95, 0.99), "at the threshold": lambda: near(x[:400], 0.9, 0.92)}
+    x = np.concatenate([x, more[case]()]) if case in more else x
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links = (x @ x.T >= 0.9).sum() - len(x)
+    found = embedding_dedup(vectors).agg({"n_links": "sum"}).first()[0]
+    assert 0.9 * links <= found <= links
+
+
 def test_main_text(spark):
     page = '<html><head><title>t</title></head><body><nav><a>m</a></nav><header>h</header><article><h1>A &amp; b</h1><p><b>One\n two<br><p>x<script>"</p>"</script>y</p><div class="comments"><p>no</p></div></article><aside>s</aside><footer>f</footer></body>'
     rows = [(1, "http://a/1", page), (2, "http://a/2", None), (3, None, "<p>plain"), (4, "http://a/3", "")]
