@@ -17,7 +17,7 @@ PHRASES = [
     ("mit license", "mit"),
 ]
 
-# The opening words of well-known public license notices, with their labels.
+# Well-known public license notices, clause by clause, with their labels.
 NOTICES = [
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache"),
@@ -25,6 +25,24 @@ NOTICES = [
     ("this work is licensed under a creative commons attribution international license", "cc-by"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
+    ("to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "mit"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit"),
+    ("in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "mit"),
+    ("you may obtain a copy of the license at http www apache org licenses license 2 0", "apache"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache"),
+    ("see the license for the specific language governing permissions and limitations under the license", "apache"),
+    ("as published by the free software foundation either version 3 of the license or at your option any later version", "gpl"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gpl"),
+    ("you should have received a copy of the gnu general public license along with this program", "gpl"),
+    ("to view a copy of this license visit http creativecommons org licenses by 4 0 or send a letter to creative commons po box 1866 mountain view ca 94042 usa", "cc-by"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd"),
+    ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "bsd"),
+    ("in no event shall the copyright owner or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption", "bsd"),
+    ("however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage", "bsd"),
+    ("if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mpl"),
 ]
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,6 +71,18 @@ def _words_held(words: list[str], prefix: list[str], need: int):
     return held
 
 
+def _most_in_a_window(words: list[str], width: int, norm: Column) -> Column:
+    """Most distinct words of a notice that ``width`` consecutive words of a text hold, across line breaks."""
+    all_words = F.array(*map(F.lit, words))
+
+    def over(tokens: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - width + 1, F.lit(1)))
+        return F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(all_words, F.slice(tokens, i, width)))))
+
+    # the array of one array binds the words to a variable, so that the text is split once
+    return F.get(F.transform(F.array(F.split(norm, " ")), over), F.lit(0))
+
+
 def token_order(docs: DataFrame, notices: list[tuple[str, str]], text_col: str = "text") -> dict[str, int]:
     """Number of documents that hold each word of the notices, over all documents.
 
@@ -68,12 +98,14 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Labels documents with the licenses that they name or quote.
 
     ``base_labels`` come from ``phrases`` whose words stand consecutively.  The method's labels come
-    from an exact set-similarity join of text blocks (lines) with ``notices``: a block is a match if
-    it holds at least ``threshold`` of a notice's distinct words.  Words are ordered by their
-    document frequency over the whole corpus, rarest first.  A match holds one of the notice's first
-    ``n - need + 1`` words (prefix filter), has at least ``need`` words (length filter), and the
-    first of these words that it holds leaves at least ``need`` words from there on (positional
-    filter); what is left is counted exactly.
+    from an exact set-similarity join of text blocks with ``notices``: a block is a match if it holds
+    at least ``threshold`` of a notice's distinct words.  Blocks are the lines, and all windows of as
+    many consecutive words as the notice has, over ``threshold``; windows run across line breaks, so a
+    wrapped notice is found, with words put in or left out up to the threshold.  Words are ordered by
+    their document frequency over the whole corpus, rarest first.  A match holds one of the notice's
+    first ``n - need + 1`` words (prefix filter), its document and a line have at least ``need`` words
+    (length filter), and the first of these words that a line holds leaves at least ``need`` words from
+    there on (positional filter); what is left is counted exactly.
 
     All is evaluated in the row that holds the text, so nothing but the word counts is shuffled and
     no key can be hot.  The notices are a short, fixed list of parameters.
@@ -100,12 +132,19 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         base.append(F.when(here, F.lit(label)))
     found = [F.lit(None).cast("double")]
     named: list[Column] = []
+    plans = []
     for text_of, label in notices:
         words = sorted(set(text_of.split()), key=lambda w: (order[w], w))
         need = max(1, math.ceil(threshold * len(words) - 1e-9))
-        prefix = words[: len(words) - need + 1]
-        maybe = F.rlike("norm", F.lit(" (" + "|".join(prefix) + ") "))
-        most = F.when(maybe, F.array_max(F.transform(F.split(F.col("raw"), "\n"), _words_held(words, prefix, need))))
+        width = math.ceil(len(text_of.split()) / threshold - 1e-9)
+        plans.append((words, need, words[: len(words) - need + 1], width, label))
+    # words of any notice in the document, and those of them that a prefix holds
+    rows = rows.withColumn("known", F.array_intersect(F.split(F.col("norm"), " "), F.array(*map(F.lit, sorted(order)))))
+    rows = rows.withColumn("rare", F.array_intersect("known", F.array(*map(F.lit, sorted({w for p in plans for w in p[2]})))))
+    for words, need, prefix, width, label in plans:
+        maybe = F.arrays_overlap("rare", F.array(*map(F.lit, prefix))) & (F.size(F.array_intersect("known", F.array(*map(F.lit, words)))) >= need)
+        in_line = F.array_max(F.transform(F.split(F.col("raw"), "\n"), _words_held(words, prefix, need)))
+        most = F.when(maybe, F.greatest(in_line, _most_in_a_window(words, width, F.col("norm"))))
         hit_share = F.when(most >= need, most / F.lit(float(len(words))))
         rows = rows.withColumn(f"share{len(named)}", hit_share)
         found.append(F.col(f"share{len(named)}"))

@@ -172,6 +172,18 @@ def test_license_scan(spark):
     assert got[3] == (0, 0, None, None, "", "", 0.0) and got[4][1] == 0
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"
+    mit = "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files (the Software)"
+    rest = "IN NO EVENT SHALL THE COPYRIGHT\nOWNER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,\nSPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT\nLIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,\nDATA, OR PROFITS; OR BUSINESS INTERRUPTION)"
+    far = "\n".join(w + " other" * 30 for w in bsd.split())
+    filler = "some words before\n" * 40
+    texts = [(1, filler + bsd + "\n" + filler), (2, mit), (3, rest), (4, far), (5, bsd.replace("provided", "changed").replace("met", "so met"))]
+    got = {r["doc_id"]: tuple(r)[6:] for r in scan_licenses(docs(spark, texts)).collect()}
+    assert got[1] == ("bsd", 1.0) and got[2] == ("mit", 1.0) and got[3] == ("bsd", 1.0) and got[4] == ("", 0.0)
+    assert got[5][0] == "bsd" and 0.8 <= got[5][1] < 1
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((120, 16))
