@@ -349,6 +349,24 @@ def _(s, sf):
     return forecast.overlap_forecast(forecast.equi_depth(inserts(s, sf), 100, 10, 800), 20, 90, 2.0).select(F.round("expected", 6).alias("expected"))
 
 
+EPOCHS_SQL = f"""WITH i AS ({INS_SQL}), e AS (SELECT (seq - 100) // 800 AS epoch, count(*) AS inserts FROM i WHERE seq >= 100 GROUP BY 1),
+p AS (SELECT epoch, inserts, seq, key FROM e JOIN i ON seq < 100 + 800 * epoch QUALIFY row_number() OVER (PARTITION BY epoch ORDER BY md5(CAST(seq AS VARCHAR)), seq) <= 100),
+o AS (SELECT epoch, inserts, key, row_number() OVER (PARTITION BY epoch ORDER BY key, seq) - 1 AS i FROM p),
+b AS (SELECT epoch, inserts, CAST(i // 10 AS INTEGER) AS part, key AS lower, lead(key, 1, 9223372036854775807) OVER (PARTITION BY epoch ORDER BY i) AS upper FROM o WHERE i % 10 = 0)
+SELECT b.epoch, inserts, part, lower, upper, count(k.key) AS cnt FROM b LEFT JOIN (SELECT (seq - 100) // 800 AS epoch, key FROM i WHERE seq >= 100) k ON k.epoch = b.epoch AND k.key >= lower AND k.key < upper GROUP BY b.epoch, inserts, part, lower, upper"""
+
+
+@query("hist_every_epoch", EPOCHS_SQL)
+def _(s, sf):
+    return forecast.equi_depth_epochs(inserts(s, sf), 100, 10, 800)
+
+
+@query("hist_last_overlap", f"SELECT round(sum(cnt * greatest(0, least(upper, 90) - greatest(lower, 20)) / (upper - lower)) * 2.0, 6) AS expected FROM (SELECT * FROM ({EPOCHS_SQL}) WHERE inserts >= 800 QUALIFY epoch = max(epoch) OVER ()) WHERE upper > lower")
+def _(s, sf):
+    last = forecast.last_completed(forecast.equi_depth_epochs(inserts(s, sf), 100, 10, 800), 800)
+    return forecast.overlap_forecast(last, 20, 90, 2.0).select(F.round("expected", 6).alias("expected"))
+
+
 @query("future_goal", "SELECT greatest(10.0, greatest(1.0, 44.0 * 216.0 / (216.0 + count(*) / 100.0))) AS goal FROM events")
 def _(s, sf):
     n = t(s, sf, "events").agg((F.count("*") / 100.0).alias("f"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -49,6 +50,23 @@ def test_tracker_small_numbers(spark):
     assert [r["cnt"] for r in hist.orderBy("part").collect()] == [45, 45]
 
 
+def test_tracker_counts_every_epoch(spark):
+    rng = random.Random(3)
+    data = [(i, rng.randrange(100) + (1000 if i >= 600 else 0)) for i in range(1000)]
+    hist = forecast.equi_depth_epochs(spark.createDataFrame(data, "seq long, key long"), 20, 4, 90)
+    expected = []
+    for e in range(11):
+        start = 20 + 90 * e
+        least = sorted((hashlib.md5(str(i).encode()).hexdigest(), k) for i, k in data[:start])[:20]
+        lower = sorted(k for _, k in least)[::5]
+        new = [k for _, k in data[start : start + 90]]
+        expected += [(e, len(new), p, lo, up, sum(lo <= k < up for k in new)) for p, (lo, up) in enumerate(zip(lower, [*lower[1:], 2**63 - 1], strict=True))]
+    assert sorted(rows(hist)) == expected
+    last = forecast.last_completed(hist, 90)
+    assert {r["epoch"] for r in last.collect()} == {9} and forecast.overlap_forecast(last, 0, 1000).first()[0] < 45
+    assert rows(forecast.equi_depth_epochs(spark.createDataFrame(data[:19], "seq long, key long"), 20, 4, 90)) == []
+
+
 @pytest.mark.parametrize("method", ["greedy", "optimal"])
 def test_plr_error_bound(method):
     rng = random.Random(42)
