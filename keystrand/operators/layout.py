@@ -39,6 +39,26 @@ def repack_fill(n: int, fanout: int, fill_pct: int, usable: int, key_size: int,
     return fill_pct, records_per_page(fill_pct, usable, key_size, record_size)
 
 
+def _chains(view: DataFrame, width: int) -> DataFrame:
+    """Records with their chain (``width`` keys each), their place in it from 0 and its number of records ``n``."""
+    chain = Window.partitionBy("chain")
+    rows = view.withColumn("chain", F.floor(F.col("key") / width).cast("long"))
+    return rows.withColumn("rn", F.row_number().over(chain.orderBy("key")) - 1).withColumn("n", F.count("*").over(chain))
+
+
+def flatten_chains(view: DataFrame, width: int, per_page: int) -> DataFrame:
+    """Every chain of ``width`` keys packed on its own: ``chain, key, value, page``, pages from 0 in each chain."""
+    return _chains(view, width).select("chain", "key", "value", F.floor(F.col("rn") / per_page).cast("long").alias("page"))
+
+
+def repack_chains(view: DataFrame, width: int, fanout: int, fill_pct: int, usable: int, key_size: int, record_size: int) -> DataFrame:
+    """Every chain repacked with the fill that ``repack_fill`` gives for its own number of records."""
+    per_page = F.array(*[F.lit(records_per_page(p, usable, key_size, record_size)) for p in range(fill_pct, 101)])
+    fits = F.filter(per_page, lambda r: F.ceil(F.col("n") / r) <= fanout)
+    rows = _chains(view, width).withColumn("per", F.coalesce(F.get(fits, F.lit(0)), F.element_at(per_page, -1)))
+    return rows.select("chain", "key", "value", F.floor(F.col("rn") / F.col("per")).cast("long").alias("page"))
+
+
 def build_pages(keys: DataFrame, goal: float, epsilon: float, *, shards: int = 1, method: str = "optimal") -> DataFrame:
     """Learned segments and their pages, one row per page.
 

@@ -248,6 +248,12 @@ def _(s, sf):
     return layout.interval_lookup(keys, segments(s, sf).withColumnRenamed("base_key", "lower"), "segment_id")
 
 
+@query("asof_segment_lookup_all", f"SELECT k.key, coalesce(g.segment_id, 0) AS segment_id FROM (SELECT l_orderkey * 3 + 1 AS key FROM lineitem) k ASOF LEFT JOIN ({SEG_SQL}) g ON k.key >= g.base_key")
+def _(s, sf):
+    keys = t(s, sf, "lineitem").select((F.col("l_orderkey") * 3 + 1).alias("key"))
+    return layout.interval_lookup(keys, segments(s, sf).withColumnRenamed("base_key", "lower"), "segment_id")
+
+
 @query("next_segment", f"SELECT min(base_key) AS base_key FROM ({SEG_SQL}) WHERE base_key > 1000")
 def _(s, sf):
     return segments(s, sf).where("base_key > 1000").agg(F.min("base_key").alias("base_key"))
@@ -287,6 +293,24 @@ def _(s, sf):
     return layout.pages_fixed_pack(view(s, sf).where("key < 300"), 44)
 
 
+CHAIN_SQL = "SELECT key // {0} AS chain, key, value, row_number() OVER (PARTITION BY key // {0} ORDER BY key) - 1 AS rn, count(*) OVER (PARTITION BY key // {0}) AS n FROM (" + VIEW_SQL + ")"
+
+
+@query(
+    "reorg_every_chain",
+    f"""WITH c AS ({CHAIN_SQL.format(400)}), f AS (SELECT greatest(1, CAST(floor(CAST(range AS DOUBLE) / 100 * ((4096 - 2 * 8) / 70.0::DOUBLE)) AS BIGINT)) AS per FROM range(50, 101)),
+p AS (SELECT n, coalesce(min(per) FILTER (ceil(n / per::DOUBLE) <= 8), max(per)) AS per FROM (SELECT DISTINCT n FROM c), f GROUP BY n)
+SELECT chain, key, value, rn // per AS page FROM c JOIN p USING (n)""",
+)
+def _(s, sf):
+    return layout.repack_chains(view(s, sf), 400, 8, 50, 4096, 8, 64)
+
+
+@query("flatten_every_chain", f"SELECT chain, key, value, rn // 44 AS page FROM ({CHAIN_SQL.format(300)})")
+def _(s, sf):
+    return layout.flatten_chains(view(s, sf), 300, 44)
+
+
 def learned(s, sf):
     # squares leave gaps that grow, so that lines end
     keys = t(s, sf, "customer").select((F.col("c_custkey") * F.col("c_custkey") / 8 + F.col("c_custkey") + 1).cast("long").alias("key")).distinct()
@@ -527,6 +551,14 @@ def _(s, sf):
     return o.join(t(s, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_name"), "k", "full_outer")
 
 
+@query("join_full_outer_all", "SELECT coalesce(o.k, s.k) AS k, n, c_name, s_name FROM (SELECT coalesce(o_custkey, c_custkey) AS k, n, c_name FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) FULL JOIN customer ON o_custkey = c_custkey) o FULL JOIN (SELECT s_suppkey AS k, s_name FROM supplier) s ON o.k = s.k")
+def _(s, sf):
+    # suppliers, customers and ordering customers have keys that differ by themselves
+    o = t(s, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    both = o.join(t(s, sf, "customer").select(F.col("c_custkey").alias("k"), "c_name"), "k", "full_outer")
+    return both.join(t(s, sf, "supplier").select(F.col("s_suppkey").alias("k"), "s_name"), "k", "full_outer")
+
+
 @query("pivot_by_category", "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY 1")
 def _(s, sf):
     p = t(s, sf, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1)))

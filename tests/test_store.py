@@ -1,4 +1,5 @@
 import hashlib
+import importlib
 import random
 
 import pytest
@@ -67,6 +68,28 @@ def test_tracker_counts_every_epoch(spark):
     assert rows(forecast.equi_depth_epochs(spark.createDataFrame(data[:19], "seq long, key long"), 20, 4, 90)) == []
 
 
+def test_every_chain_is_packed_with_its_own_fill(spark):
+    keys = [*range(1, 400), *range(400, 700), *range(1200, 1210)]
+    view = spark.createDataFrame([(k, str(k)) for k in keys], KV)
+    got = {(r["chain"], r["key"]): r["page"] for r in layout.repack_chains(view, 400, 8, 50, 4096, 8, 64).collect()}
+    flat = {r["key"]: (r["chain"], r["page"]) for r in layout.flatten_chains(view, 300, 44).collect()}
+    assert len(got) == len(flat) == len(keys)
+    for chain in {k // 400 for k in keys}:
+        own = [k for k in keys if k // 400 == chain]
+        per = layout.repack_fill(len(own), 8, 50, 4096, 8, 64)[1]
+        assert [got[chain, k] for k in own] == [i // per for i in range(len(own))]
+    assert flat[299] == (0, 298 // 44) and flat[300] == (1, 0) and flat[1209] == (4, 0)
+
+
+def test_whole_table_queries_leave_no_row_out(spark):
+    entry, sf = importlib.import_module("__spark_entry__"), "/root/testdata/sf0.001"
+    table = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    assert entry.queries()["asof_segment_lookup_all"](spark, sf).count() == table("lineitem").count()
+    joined = entry.queries()["join_full_outer_all"](spark, sf)
+    assert joined.where("c_name is not null").count() == table("customer").count()
+    assert joined.agg({"n": "sum"}).first()[0] == table("orders").count()
+
+
 @pytest.mark.parametrize("method", ["greedy", "optimal"])
 def test_plr_error_bound(method):
     rng = random.Random(42)
