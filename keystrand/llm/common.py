@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pyarrow as pa
@@ -10,9 +11,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-
-#: Links of a forest that one task contracts, on average; more links take more tasks and rounds.
-FOREST_LINKS = 500_000
+#: Links of a forest that one task contracts, on average; tasks grow with the links.
+TASK_LINKS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,12 @@ def text_or_empty(c: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where the session names none."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where a local session names none."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ks-ckpt-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -75,14 +77,20 @@ def _local_forest(batches):
         )
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _is_flat(edges: DataFrame) -> bool:
+    """Whether every edge hangs on a root: no node has two parents, or is both a child and a parent."""
+    twice = edges.groupBy("u").count().where("count > 1").isEmpty()
+    return twice and edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").isEmpty()
+
+
+def components(links: DataFrame) -> DataFrame:
     """Connected components of undirected links ``(u long, v long)``.
 
     Returns ``(node, component)`` for every node of a link, ``component`` being the smallest node
-    that it reaches.  Self-links and null ends are ignored.  Each partition first contracts its own
-    links to a forest, and partitions of few links do so together, ``FOREST_LINKS`` of them a task;
-    where several forests are left, alternating large-star and small-star rounds join them, with a
-    checkpoint per round.  Rounds are logarithmic in practice; no link is ever collected.
+    that it reaches.  Self-links and null ends are ignored.  Each partition contracts its own links to
+    a forest, ``TASK_LINKS`` of them a task; until all trees are flat, alternating large-star and
+    small-star rounds join them, with a checkpoint per round.  Rounds are logarithmic in practice and end
+    only when the components are whole; no link is ever collected.
     """
     spark = links.sparkSession
     edges = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null and u <> v")
@@ -90,10 +98,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     n = edges.count()
     if not n:
         return spark.createDataFrame([], "node long, component long")
-    tasks = n // FOREST_LINKS + 1
-    edges = checkpointed(edges.coalesce(tasks).mapInArrow(_local_forest, "u long, v long"))
-    before = None
-    for _ in range(max_rounds if tasks > 1 else 0):
+    edges = checkpointed(edges.coalesce(n // TASK_LINKS + 1).mapInArrow(_local_forest, "u long, v long"))
+    while not _is_flat(edges):
         # large star: every neighbour above u goes to the smallest of u's closed neighbourhood
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -102,14 +108,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
-        # done once every edge hangs on a root: no node is both a child and a parent, one parent each
-        state = edges.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s")).first()
-        nested = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").isEmpty()
-        if state["n"] == state["d"] and nested:
-            break
-        if before == (state["n"], state["s"]):
-            break
-        before = (state["n"], state["s"])
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

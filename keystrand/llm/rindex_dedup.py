@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_width
-from .shingles import PIECE, _tables, mix
+from .shingles import PIECE, mix
 
 #: Bytes of the anchors that bring equal strings together.
 ANCHOR = 32
@@ -19,10 +19,22 @@ INDEX_SPANS = 4096
 #: Entries that a map task packs at a time.
 CHUNK_ENTRIES = 1_000_000
 _STEP = PIECE - 4096
+_B = 0x9E3779B97F4A7C15 | 1
+_TABLES: list[np.ndarray] = []
 
 _ENTRY = np.dtype([("h", "<u8"), ("dig", "<u8"), ("owner", "<u4"), ("a", "<u4"), ("w", "<u2")])
 
 
+def _tables() -> list[np.ndarray]:
+    """Powers of the base of the rolling hash, and of its inverse."""
+    if not _TABLES:
+        for base in (_B, pow(_B, -1, 1 << 64)):
+            t = np.ones(PIECE + 1, np.uint64)
+            t[1:] = np.uint64(base)
+            _TABLES.append(np.cumprod(t, dtype=np.uint64))
+    return _TABLES
+
+
 def _rolling(b: np.ndarray) -> np.ndarray:
     power, _ = _tables()
     run = np.zeros(len(b) + 1, np.uint64)

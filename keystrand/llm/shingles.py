@@ -9,21 +9,10 @@ import numpy as np
 WORDS = 5
 #: Texts are hashed in pieces of at most this many bytes, cut at white space.
 PIECE = 1 << 18
-_B = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_TABLES: list[np.ndarray] = []
-
-
-def _tables() -> list[np.ndarray]:
-    if not _TABLES:
-        inverse = pow(_B, -1, 1 << 64)
-        for base in (_B, inverse):
-            t = np.ones(PIECE + 1, np.uint64)
-            t[1:] = np.uint64(base)
-            _TABLES.append(np.cumprod(t, dtype=np.uint64))
-    return _TABLES
+#: Words of up to this many bytes are hashed together, eight bytes a step; longer ones one by one.
+LONG_WORD = 1 << 10
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,17 +22,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _digest(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
 def _hash_words(piece: bytes) -> np.ndarray:
+    """A hash per word: its length and its bytes, eight at a time, each step scrambled into the next."""
     if len(piece) > PIECE:  # one word longer than a piece
-        return np.array([int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little")], np.uint64)
-    power, inverse = _tables()
-    b = np.frombuffer(piece, np.uint8)
-    word = ~_SPACE[b]
+        return np.array([_digest(piece)], np.uint64)
+    word = ~_SPACE[np.frombuffer(piece, np.uint8)]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    run = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=run[1:])
-    return mix((run[end] - run[start]) * inverse[start] ^ ((end - start).astype(np.uint64) << np.uint64(50)))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    # the eight bytes from every place on
+    eight = np.ndarray(len(piece) + 1, "<u8", piece + bytes(8), 0, (1,))
+    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    at, left, place = np.arange(len(start)), size, start
+    while len(at):
+        unused = (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
+        h[at] = mix((h[at] ^ (eight[place] << unused)) * np.uint64(0xD6E8FEB86659FD93))
+        more = (left > 8) & (size[at] <= LONG_WORD)
+        at, left, place = at[more], left[more] - 8, place[more] + 8
+    for k in np.flatnonzero(size > LONG_WORD):
+        h[k] = _digest(piece[start[k] : start[k] + size[k]])
+    return h
 
 
 def word_hashes(text: bytes) -> np.ndarray:

@@ -18,8 +18,10 @@ STRIPE = 1 << 15
 CHUNK_TOKENS, COUNT_TOKENS = 1_500_000, 4_000_000
 #: A set of ids up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_IDS = 200_000
+#: Tokens of one block of an opened group, and of the classes that it is opened for.
+BLOCK_TOKENS = 1 << 20
 
-_ENTRY = np.dtype([("token", "<u8"), ("owner", "<u4"), ("place", "<u4")])
+_ENTRY = np.dtype([("token", "<u8"), ("owner", "<u4")])
 
 
 def prefix_length(n, num: int, den: int):
@@ -82,12 +84,12 @@ def _pack_prefixes(level: np.ndarray, parts: int, num: int, den: int):
     """Packs the prefixes of sets by part of the token space: one row per chunk of documents and part."""
 
     def run(batches):
-        owners, sizes, alone, tokens, places, seen, total = [], [], [], [], [], set(), 0
+        owners, sizes, alone, tokens, seen, total = [], [], [], [], set(), 0
 
         def flush():
             lengths = np.array([len(t) for t in tokens])
             e = np.zeros(int(lengths.sum()), _ENTRY)
-            e["token"], e["owner"], e["place"] = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), lengths), np.concatenate(places)
+            e["token"], e["owner"] = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), lengths)
             part = (e["token"] >> np.uint64(32)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             e, part = e[order], part[order]
@@ -113,11 +115,10 @@ def _pack_prefixes(level: np.ndarray, parts: int, num: int, den: int):
                 sizes.append(len(s))
                 alone.append(int(np.count_nonzero(steps == 0)) * 65536 // len(s))
                 tokens.append(rare)
-                places.append(np.arange(len(rare)))
                 total += len(rare)
                 if total >= CHUNK_TOKENS // 2:
                     yield flush()
-                    owners, sizes, alone, tokens, places, seen, total = [], [], [], [], [], set(), 0
+                    owners, sizes, alone, tokens, seen, total = [], [], [], [], set(), 0
         if tokens:
             yield flush()
 
@@ -125,10 +126,10 @@ def _pack_prefixes(level: np.ndarray, parts: int, num: int, den: int):
 
 
 def _shared_runs(table: pa.Table) -> pa.Table:
-    """Of one part, the entries of tokens that two classes or more hold, with the run's pivots.
+    """Of one part, the entries of tokens that two classes or more hold, with the run's pivot.
 
-    The pivots are classes of the run in the same band of set sizes: the one with the smallest share of
-    tokens that the sketch does not know, which is likely in the middle of a group, and the largest.
+    The pivot is the class of the run, in the same band of set sizes, with the smallest share of
+    tokens that the sketch does not know, which is likely in the middle of a group.
     """
     entry = [np.frombuffer(x, _ENTRY) for x in table.column("entries").to_pylist()]
     owner = [np.frombuffer(x, np.int64) for x in table.column("owners").to_pylist()]
@@ -138,106 +139,21 @@ def _shared_runs(table: pa.Table) -> pa.Table:
     cls = np.concatenate([o[e["owner"]] for o, e in zip(owner, entry, strict=True)])
     n = np.concatenate([s[e["owner"]] for s, e in zip(size, entry, strict=True)])
     alone = np.concatenate([x[e["owner"]] for x, e in zip(lone, entry, strict=True)])
-    place = np.concatenate([e["place"] for e in entry]).astype(np.int64)
     del entry, owner, size, lone
     order = np.lexsort((cls, token))
-    token, cls, n, place, alone = token[order], cls[order], n[order], place[order], alone[order]
+    token, cls, n, alone = token[order], cls[order], n[order], alone[order]
     first = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]) if len(token) else np.zeros(0, bool)
-    token, cls, n, place, alone = token[first], cls[first], n[first], place[first], alone[first]
+    token, cls, n, alone = token[first], cls[first], n[first], alone[first]
     new = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
     run = np.cumsum(new) - 1
     many = (np.bincount(run)[run] > 1) if len(run) else np.zeros(0, bool)
-    token, cls, n, place, alone = token[many], cls[many], n[many], place[many], alone[many]
+    token, cls, n, alone = token[many], cls[many], n[many], alone[many]
     band = np.floor(np.log(n) / np.log(4 / 3)).astype(np.int64)
     order = np.lexsort((cls, alone, band, token))
-    token, cls, n, place, band = token[order], cls[order], n[order], place[order], band[order]
+    token, cls, n, band = token[order], cls[order], n[order], band[order]
     head = np.concatenate([[True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])]) if len(token) else np.zeros(0, bool)
-    low = cls[head][np.cumsum(head) - 1] if len(token) else cls
-    high = np.maximum.reduceat(cls, np.flatnonzero(head))[np.cumsum(head) - 1] if len(token) else cls
-    return pa.table({"token": token.view(np.int64), "cls": cls, "n": n, "place": place, "low": low, "high": high})
-
-
-def _open_groups(num: int, den: int):
-    """Pairs of classes of different groups in the runs of tokens: ``a, b, na, nb, shared, fits``.
-
-    Rows come sorted by token.  Of a run, each group is one column of the matrix, and is opened for a
-    class only if the sizes of its members can reach the threshold.  ``shared`` counts the prefix
-    tokens of a pair; ``fits`` is 1 if one of them leaves enough tokens behind it in both sets.
-    Counts are summed within the task before they leave it.
-    """
-
-    def run(batches):
-        held, pairs, total = [], [], 0
-
-        def of(rows):
-            token, cls, n, place, group = (rows.column(c).to_numpy() for c in ("token", "cls", "n", "place", "grp"))
-            cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            for a, z in zip(cut, [*cut[1:], len(token)], strict=True):
-                g = group[a:z]
-                if z - a < 2 or (g == g[0]).all():
-                    continue
-                o = np.argsort(n[a:z], kind="stable") + a
-                c, m, p, g = cls[o], n[o], place[o], group[o]
-                names, col = np.unique(g, return_inverse=True)
-                low = np.full(len(names), np.iinfo(np.int64).max)
-                high = np.zeros(len(names), np.int64)
-                np.minimum.at(low, col, m)
-                np.maximum.at(high, col, m)
-                for i in range(len(c) - 1):
-                    opened = (high >= m[i]) & (low * num <= m[i] * den) & (np.arange(len(names)) != col[i])
-                    if not opened.any():
-                        continue
-                    stop = np.searchsorted(m, m[i] * den // num, side="right")
-                    j = np.arange(i + 1, stop)
-                    j = j[opened[col[j]]]
-                    if len(j):
-                        fits = np.minimum(m[i] - p[i], m[j] - p[j]) >= need_overlap(m[i], m[j], num, den)
-                        swap = c[j] < c[i]
-                        yield np.stack([np.where(swap, c[j], c[i]), np.where(swap, c[i], c[j]), np.where(swap, m[j], m[i]), np.where(swap, m[i], m[j]), fits])
-
-        def emit():
-            both = np.concatenate(pairs, 1)
-            both = both[:, np.lexsort((both[1], both[0]))]
-            new = np.flatnonzero(np.concatenate([[True], (both[:2, 1:] != both[:2, :-1]).any(0)]))
-            count = np.diff(np.append(new, both.shape[1]))
-            fits = np.maximum.reduceat(both[4], new)
-            return pa.RecordBatch.from_arrays([*(pa.array(both[k, new]) for k in range(4)), pa.array(count), pa.array(fits)], names=["a", "b", "na", "nb", "shared", "fits"])
-
-        def work(rows):
-            nonlocal pairs, total
-            for x in of(rows):
-                pairs.append(x)
-                total += x.shape[1]
-                if total > CHUNK_TOKENS:
-                    yield emit()
-                    pairs, total = [], 0
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            rows = pa.Table.from_batches(held).combine_chunks()
-            token = rows.column("token").to_numpy()
-            done = int(np.searchsorted(token, token[-1]))
-            if done:
-                yield from work(rows.slice(0, done))
-                held = rows.slice(done).combine_chunks().to_batches()
-        if held:
-            yield from work(pa.Table.from_batches(held).combine_chunks())
-        if pairs:
-            yield emit()
-
-    return run
-
-
-def _apart(pairs: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs whose classes no links connect yet, with their groups ``ga`` and ``gb``."""
-    group = classes.join(components(links).withColumnRenamed("node", "rep"), "rep").select("cls", "component")
-    group = checkpointed(group)
-    for c, g in (("a", "ga"), ("b", "gb")):
-        own = group.select(F.col("cls").alias(c), F.col("component").alias(g))
-        pairs = pairs.join(own, c, "left").withColumn(g, F.coalesce(g, -1 - F.abs(F.xxhash64(c))))
-    return pairs.where("ga <> gb")
+    pivot = cls[head][np.cumsum(head) - 1] if len(token) else cls
+    return pa.table({"token": token.view(np.int64), "cls": cls, "n": n, "band": band, "pivot": pivot})
 
 
 def _with_class(batches):
@@ -267,6 +183,88 @@ def _verify(num: int, den: int):
     return run
 
 
+def _with_set(batches):
+    for b in batches:
+        sets = [shingle_set(t.as_py()) for t in b.column(0)]
+        cls = [_class_of(set_digest(x)) if len(x) else None for x in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cls", "tokens"])
+
+
+def _search_group(num: int, den: int):
+    """Of a block of an opened group and a block of the classes it is opened for, the links as a forest.
+
+    ``tokens`` of the group lie sorted beside their members, so that one search per token of a class
+    counts its intersections with all members at once.  ``tied`` members are one component already.
+    A class gets one link per component that the block knows, not one per member, and joins them.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, tied, role = (table.column(c).to_numpy() for c in ("cls", "tied", "role"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        member, query = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+        found = []
+        if len(member) and len(query):
+            n = np.array([len(sets[k]) for k in member])
+            token, owner = np.concatenate([sets[k] for k in member]), np.repeat(np.arange(len(member)), n)
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            value, start = np.unique(token, return_index=True)
+            end = np.append(start[1:], len(token))
+            known = {int(c): k for k, c in enumerate(cls[member])}
+            tree = np.where(tied[member], -1, np.arange(len(member)))  # the tied members are component -1
+            for q in query:
+                x = sets[q]
+                at = np.searchsorted(value, x)
+                at, x = at[at < len(value)], x[at < len(value)]
+                hit = at[value[at] == x]
+                if not len(hit):
+                    continue
+                length = end[hit] - start[hit]
+                spread = np.repeat(start[hit] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+                both = np.bincount(owner[spread], minlength=len(member))
+                near = np.flatnonzero(both * den >= num * (len(sets[q]) + n - both))
+                near = near[cls[member[near]] != cls[q]]
+                if not len(near):
+                    continue
+                own = known.get(int(cls[q]))
+                trees, first = np.unique(tree[near], return_index=True)
+                if own is not None:
+                    first = first[trees != tree[own]]
+                found += [(cls[q], cls[member[near[k]]]) for k in first]
+                if own is not None:  # the class is a member itself
+                    trees = np.append(trees, tree[own])
+                if len(trees) > 1:
+                    tree[np.isin(tree, trees)] = trees.min()
+        return pa.table({"a": pa.array([int(x[0]) for x in found], pa.int64()), "b": pa.array([int(x[1]) for x in found], pa.int64())})
+
+    return run
+
+
+def _open_groups(runs: DataFrame, homes: DataFrame, num: int, den: int) -> DataFrame:
+    """The groups to open for each class: ``(cls, grp)``, from the token-group matrix.
+
+    The matrix has a row per token and a column per group, set where the union of its members' prefix
+    tokens holds the token.  A class is compared with the unions, never with other classes; the cells it
+    shares with a group bound its intersection with every member.  A pair of groups is looked at
+    from one side: from classes without a link to linked ones, else by the order of the groups.
+    """
+    held = runs.select("token", "cls", "n").join(homes.select("cls", "grp", "home", "tied"), "cls")
+    union = held.select("token", F.col("grp").alias("g"), F.col("home").alias("h"), F.col("tied").alias("t")).distinct()
+    sides = (F.col("tied") < F.col("t")) | ((F.col("tied") == F.col("t")) & (F.col("grp") <= F.col("g")))
+    settled = F.col("tied") & F.col("t") & (F.col("home") == F.col("h"))
+    overlap = held.join(union, "token").where(sides & ~settled).groupBy("cls", "n", "g").agg(F.count("*").alias("shared"))
+    sizes = homes.groupBy(F.col("grp").alias("g")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    overlap = overlap.join(sizes, "g")
+
+    ceil = lambda c, over: F.floor((c + over - 1) / over)
+    rest = lambda c: ceil(c * num, den) - 1
+    lo, hi = F.greatest("lo", ceil(F.col("n") * num, den)), F.least("hi", F.floor(F.col("n") * den / num))
+    # the bound is loosest at an end of the sizes that can meet; one token of slack for its rounding
+    lack = lambda m: ceil((F.col("n") + m) * num, num + den) - F.greatest(rest(F.col("n")), rest(m))
+    opened = overlap.where((lo <= hi) & (F.col("shared") + 1 >= F.least(lack(lo), lack(hi))))
+    return opened.select("cls", F.col("g").alias("grp"))
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -280,15 +278,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
        share a cell only move in the order, which changes no result.
     2. A second pass sends each class's prefix, which must share a token with any partner, to the
        tokens' parts of the token space.  Tokens of a single class end there.
-    3. Groups: each class is checked with the pivot that it shares most tokens with, and with a second
-       one if that links it with nothing; classes that the links connect are a group of similar
-       documents.  This only saves work.
-    4. The token-group matrix has a column per group and a row per token.  For each token and class
-       only groups of other columns are opened whose sizes can reach the threshold; the places of
-       shared tokens, and their number summed over all tokens, bound a pair's overlap.
-    5. Pairs that the bound leaves are verified on the whole sets; components follow from all links.
+    3. Groups: each class is checked with the pivot that it shares most tokens with.  Classes that
+       the links connect form groups, by band of sizes; a class without a link joins the group
+       of its pivot's loose classes, or is a group of its own.
+    4. The token-group matrix (``_open_groups``) bounds the overlap of each class with the union of
+       each group, and opens the groups that can hold a partner.
+    5. An opened group is searched in blocks of its members and of the classes it is opened for;
+       a class is linked once with each component that it meets there.  Components follow.
 
-    Exact for any order and grouping, without caps; a pair within a group is never built.
+    Exact for any order and grouping, without caps; rows follow the tokens, never pairs of classes.
 
     Result: ``id, n_shingles, component_id``, one row per input row.  Null, empty and blank texts have
     an empty set and link with nothing; rows of a null id link with nothing and have a null
@@ -311,60 +309,58 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     parts = int(max(shuffle_width(spark), total // CHUNK_TOKENS + 1))
 
     packed = rows.where("id is not null").select("text").mapInArrow(_pack_prefixes(level, parts, num, den), "part int, entries binary, owners binary, sizes binary, alone binary")
-    runs = checkpointed(packed.groupBy("part").applyInArrow(_shared_runs, "token long, cls long, n long, place long, low long, high long"))
+    runs = checkpointed(packed.groupBy("part").applyInArrow(_shared_runs, "token long, cls long, n long, band long, pivot long"))
 
     members = narrow.where("id is not null and sig is not null").groupBy("sig", "cls").agg(F.min("id").alias("rep"))
     members = checkpointed(members)
     classes = members.select("cls", "rep")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs ``(a, b)`` of classes, as pairs of representatives."""
-        pairs = checkpointed(pairs)
-        ends = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = checkpointed(ends.join(classes, "cls").select(F.col("rep").alias("id")).distinct())
+    def texts(wanted: DataFrame) -> DataFrame:
+        """Texts of representatives of the classes ``wanted``."""
+        wanted = checkpointed(wanted.join(classes, "cls").select(F.col("rep").alias("id")).distinct())
         if wanted.count() <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
-        held = rows.join(wanted, "id").select("text").mapInArrow(_with_class, "cls long, text binary").dropDuplicates(["cls"])
-        ta, tb = held.select(F.col("cls").alias("a"), F.col("text").alias("ta")), held.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-        links = pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(num, den), "a long, b long")
+        return rows.join(wanted, "id").select("text")
+
+    def of_representatives(links: DataFrame) -> DataFrame:
         one, two = classes.select(F.col("cls").alias("a"), F.col("rep").alias("u")), classes.select(F.col("cls").alias("b"), F.col("rep").alias("v"))
         return checkpointed(links.join(one, "a").join(two, "b").select("u", "v"))
 
-    # groups of similar documents, by the best pivot
+    # each class and the pivot that it shares most tokens with
     fewest = F.ceil(F.col("n") * F.lit((den - num) * num / (den * (num + den)))) - 1
+    shares = runs.groupBy("cls", "n", "band", "pivot").agg(F.count("*").alias("shared"))
+    other = F.when(F.col("pivot") != F.col("cls"), F.struct("shared", "pivot"))
+    pivots = checkpointed(shares.groupBy("cls", "n", "band").agg(F.sum("shared").alias("held"), F.max(other).alias("best")).select("cls", "n", "band", "held", "best.*"))
+    tries = checkpointed(pivots.where(F.col("shared") >= fewest).select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+    ends = tries.select(F.col("a").alias("cls")).unionAll(tries.select(F.col("b").alias("cls"))).distinct()
+    held = texts(ends).mapInArrow(_with_class, "cls long, text binary").dropDuplicates(["cls"])
+    ta, tb = held.select(F.col("cls").alias("a"), F.col("text").alias("ta")), held.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
+    links = of_representatives(tries.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(num, den), "a long, b long"))
 
-    def pivots(rows: DataFrame, pivot: str) -> DataFrame:
-        """Of each class the pivot that it shares most tokens with, if these can be enough."""
-        guess = rows.where(F.col("cls") != F.col(pivot)).groupBy("cls", pivot, "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= fewest)
-        guess = guess.groupBy("cls").agg(F.max_by(pivot, F.struct("shared", pivot)).alias("pivot"))
-        return guess.select("cls", F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
-
-    links = verified(pivots(runs, "low").select("a", "b").distinct())
-    # classes that nothing links yet try a second pivot
-    linked = links.select(F.col("u").alias("rep")).unionAll(links.select(F.col("v").alias("rep"))).distinct()
-    loose = checkpointed(classes.join(linked, "rep", "left_anti").select("cls"))
-    links = checkpointed(links.unionAll(verified(pivots(runs.join(loose, "cls", "left_semi"), "high").select("a", "b").distinct())))
     comp = components(links).withColumnRenamed("node", "rep")
-    groups = checkpointed(classes.join(comp, "rep").select("cls", F.col("component").alias("g")))
-
-    # classes without a group are columns of their own
-    matrix = runs.join(groups, "cls", "left").select("token", "cls", "n", "place", F.coalesce("g", -1 - F.abs(F.xxhash64("cls"))).alias("grp"))
-    matrix = matrix.repartition(parts, "token").sortWithinPartitions("token")
-    pairs = matrix.mapInArrow(_open_groups(num, den), "a long, b long, na long, nb long, shared long, fits long")
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), F.max("fits").alias("fits"))
-    ceil = lambda c: F.ceil(c * F.lit(num) / F.lit(den))
-    overlap = F.ceil((F.col("na") + F.col("nb")) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
-    most = F.col("shared") + F.greatest(ceil(F.col("na")), ceil(F.col("nb"))) - 1
-    left = checkpointed(pairs.where((F.col("fits") == 1) & (most >= overlap)).select("a", "b", "shared"))
-
-    # of the members of an opened group the one that shares most is tried first; where it links, the
-    # group takes the class in, and the other members need no trial
-    apart = _apart(left, classes, links)
-    best = apart.groupBy("a", "gb").agg(F.max_by("b", F.struct("shared", "b")).alias("b")).select("a", "b")
-    best = best.unionAll(apart.groupBy("b", "ga").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")).distinct()
-    best = checkpointed(best)
-    links = checkpointed(links.unionAll(verified(best)))
-    links = links.unionAll(verified(_apart(left, classes, links).select("a", "b").join(best, ["a", "b"], "left_anti")))
+    linked = checkpointed(classes.join(comp, "rep", "left").select("cls", F.coalesce("component", "rep").alias("home"), F.col("component").isNotNull().alias("tied")))
+    near = linked.select(F.col("cls").alias("pivot"), F.col("home").alias("near"))
+    close = F.col("shared") * 2 >= F.col("held")  # most of what it shares with any class
+    homes = pivots.join(linked, "cls").join(near, "pivot", "left").select("cls", "n", "band", F.when(~F.col("tied") & close, F.coalesce("near", "home")).otherwise(F.col("home")).alias("home"), "tied")
+    homes = checkpointed(homes.withColumn("grp", F.xxhash64("home", "tied", "band")))
+    opened = checkpointed(_open_groups(runs, homes, num, den))
+
+    # sets of all that is to be compared, in blocks
+    members_of = homes.join(opened.select("grp").distinct(), "grp", "left_semi").select("grp", "cls", "n", "tied")
+    askers = opened.join(homes.select("cls", "n", "tied"), "cls")
+    sets = texts(opened.select("cls").unionAll(members_of.select("cls")).distinct()).mapInArrow(_with_set, "cls long, tokens binary")
+    sets = checkpointed(sets.where("cls is not null").dropDuplicates(["cls"]))
+    blocks = lambda of, name: of.groupBy("grp").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).alias(name))
+    count = checkpointed(blocks(members_of, "mb").join(blocks(askers, "qb"), "grp"))
+
+    def placed(of: DataFrame, own: str, other: str, role: int) -> DataFrame:
+        """The rows of a side, in a block of its own and once for each block of the other side."""
+        of = of.join(count, "grp").withColumn(own, F.pmod(F.xxhash64("cls"), F.col(own)))
+        return of.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("grp", "mb", "qb", "cls", "tied", F.lit(role).alias("role"))
+
+    sides = placed(members_of, "mb", "qb", 1).unionAll(placed(askers, "qb", "mb", 0)).join(sets, "cls")
+    found = sides.select("grp", "mb", "qb", "cls", "tied", "role", "tokens").groupBy("grp", "mb", "qb").applyInArrow(_search_group(num, den), "a long, b long")
+    links = links.unionAll(of_representatives(found))
 
     # an id with several texts ties their classes together
     several = narrow.where("id is not null").groupBy("id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("id")

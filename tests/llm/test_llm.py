@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from keystrand.llm.bpe import encode_decode
-from keystrand.llm import common
+from keystrand.llm import common, shingles, tgm_jaccard
 from keystrand.llm.common import components
 from keystrand.llm.covertree_topk import top_k
 from keystrand.llm.itq_dedup import embedding_dedup
@@ -56,7 +56,7 @@ def sets(texts):
 
 @pytest.mark.parametrize("per_task", [1, 500_000])
 def test_components_of_many_forests(spark, monkeypatch, per_task):
-    monkeypatch.setattr(common, "FOREST_LINKS", per_task)
+    monkeypatch.setattr(common, "TASK_LINKS", per_task)
     links = [(i, i + 1) for i in range(10, 60)] + [(60, 3), (7, 8), (8, 8), (None, 9)]
     got = dict(map(tuple, common.components(spark.createDataFrame(links, "u long, v long").repartition(5)).collect()))
     assert got == {**dict.fromkeys([3, *range(10, 61)], 3), 7: 7, 8: 7}
@@ -85,6 +85,71 @@ def test_jaccard_against_brute_force(spark):
     assert jaccard_components(docs(spark, [])).count() == 0
 
 
+def components_by_brute_force(texts):
+    s, parent = sets(texts), {i: i for i, _ in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in s:
+        for b in s:
+            if a < b and s[a] and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(s[i]), find(i)) for i in s}
+
+
+def loose_copies(rng, m, n, low, high):
+    """``m`` texts of ``n`` words that differ from one base in places of their own, mostly just under the threshold."""
+    base, out = words(rng, n).split(), []
+    while len(out) < m:
+        w = list(base)
+        for k in rng.sample(range(n), rng.randint(low, high)):
+            w[k] = f"changed{rng.random()}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("blocks", [300, 1 << 20])
+def test_jaccard_of_loose_groups(spark, monkeypatch, blocks):
+    monkeypatch.setattr(tgm_jaccard, "BLOCK_TOKENS", blocks)
+    rng = random.Random(8)
+    texts = [*loose_copies(rng, 60, 120, 1, 4), *loose_copies(rng, 40, 60, 0, 3), *loose_copies(rng, 10, 30, 0, 2), *(words(rng, 40) for _ in range(20))]
+    texts += texts[:5]
+    rng.shuffle(texts)
+    texts = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs(spark, texts)).collect()}
+    assert got == components_by_brute_force(texts)
+
+
+def test_matrix_rows_grow_with_the_tokens(spark, monkeypatch):
+    seen = []
+    real = tgm_jaccard._open_groups
+
+    def counted(*a):
+        found = real(*a)
+        seen[-1].append(found.count())
+        return found
+
+    monkeypatch.setattr(tgm_jaccard, "_open_groups", counted)
+    for m in (40, 80, 160):
+        seen.append([])
+        texts = list(enumerate(loose_copies(random.Random(3), m, 200, 4, 4)))
+        assert {r["component_id"] for r in jaccard_components(docs(spark, texts)).collect()} == {x[1] for x in components_by_brute_force(texts).values()}
+    assert all(x[0] <= 4 * m for x, m in zip(seen, (40, 80, 160), strict=True)), seen
+
+
+def test_words_hash_apart():
+    one = "0"
+    for _ in range(10):
+        one += one.translate(str.maketrans("01", "10"))
+    two = one.translate(str.maketrans("01", "10"))
+    got = shingles.word_hashes(f"{one} {two} {one} a b ab {'x' * 300_000} \x0b {'x' * 300_001} A".encode())
+    assert len(got) == 9 and len(set(got.tolist())) == 7 and got[0] == got[2] and got[3] == got[8]
+
+
 def test_substrings_against_brute_force(spark):
     texts, seen, expected = corpus(), set(), {}
     for i, x in texts:
