@@ -20,8 +20,11 @@ CHUNK_TOKENS, COUNT_TOKENS = 1_500_000, 4_000_000
 BROADCAST_IDS = 200_000
 #: Tokens of one block of an opened group, and of the classes that it is opened for.
 BLOCK_TOKENS = 1 << 20
+#: Bit of a group's number that is set where its members are one component; the band lies below it.
+TIED = 128
 
-_ENTRY = np.dtype([("token", "<u8"), ("owner", "<u4")])
+#: A class in one part: how many of the part's tokens are its own; its other columns are of the whole set.
+_OWNER = np.dtype([("cls", "<i8"), ("n", "<u4"), ("alone", "<u2"), ("held", "<u4")])
 
 
 def prefix_length(n, num: int, den: int):
@@ -87,20 +90,19 @@ def _pack_prefixes(level: np.ndarray, parts: int, num: int, den: int):
         owners, sizes, alone, tokens, seen, total = [], [], [], [], set(), 0
 
         def flush():
-            lengths = np.array([len(t) for t in tokens])
-            e = np.zeros(int(lengths.sum()), _ENTRY)
-            e["token"], e["owner"] = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), lengths)
-            part = (e["token"] >> np.uint64(32)) % np.uint64(parts)
+            token, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens), dtype=np.int32), [len(t) for t in tokens])
+            part = (token >> np.uint64(32)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
-            e, part = e[order], part[order]
+            token, owner, part = token[order], owner[order], part[order]
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            own, size, lone = np.array(owners, np.int64), np.array(sizes, np.int64), np.array(alone, np.int64)
+            own = np.array([(*x, 0) for x in zip(owners, sizes, alone, strict=True)], _OWNER)
             rows = []
-            for a, z in zip(cut, [*cut[1:], len(e)], strict=True):
-                x = e[a:z].copy()
-                used, x["owner"] = np.unique(x["owner"], return_inverse=True)
-                rows.append((int(part[a]), x.tobytes(), own[used].tobytes(), size[used].tobytes(), lone[used].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4))], names=["part", "entries", "owners", "sizes", "alone"])
+            for a, z in zip(cut, [*cut[1:], len(token)], strict=True):
+                used, held = np.unique(owner[a:z], return_counts=True)
+                x = own[used]
+                x["held"] = held
+                rows.append((int(part[a]), token[a:z].tobytes(), x.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["part", "tokens", "owners"])
 
         for b in batches:
             for text in b.column(0):
@@ -113,7 +115,7 @@ def _pack_prefixes(level: np.ndarray, parts: int, num: int, den: int):
                 rare = s[np.argsort(steps, kind="stable")[:p]]
                 owners.append(c)
                 sizes.append(len(s))
-                alone.append(int(np.count_nonzero(steps == 0)) * 65536 // len(s))
+                alone.append(int(np.count_nonzero(steps == 0)) * 65535 // len(s))
                 tokens.append(rare)
                 total += len(rare)
                 if total >= CHUNK_TOKENS // 2:
@@ -131,15 +133,10 @@ def _shared_runs(table: pa.Table) -> pa.Table:
     The pivot is the class of the run, in the same band of set sizes, with the smallest share of
     tokens that the sketch does not know, which is likely in the middle of a group.
     """
-    entry = [np.frombuffer(x, _ENTRY) for x in table.column("entries").to_pylist()]
-    owner = [np.frombuffer(x, np.int64) for x in table.column("owners").to_pylist()]
-    size = [np.frombuffer(x, np.int64) for x in table.column("sizes").to_pylist()]
-    lone = [np.frombuffer(x, np.int64) for x in table.column("alone").to_pylist()]
-    token = np.concatenate([e["token"] for e in entry])
-    cls = np.concatenate([o[e["owner"]] for o, e in zip(owner, entry, strict=True)])
-    n = np.concatenate([s[e["owner"]] for s, e in zip(size, entry, strict=True)])
-    alone = np.concatenate([x[e["owner"]] for x, e in zip(lone, entry, strict=True)])
-    del entry, owner, size, lone
+    token = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()])
+    owner = np.concatenate([np.frombuffer(x, _OWNER) for x in table.column("owners").to_pylist()])
+    cls, n, alone = (np.repeat(owner[c].astype(np.int64), owner["held"]) for c in ("cls", "n", "alone"))
+    del owner
     order = np.lexsort((cls, token))
     token, cls, n, alone = token[order], cls[order], n[order], alone[order]
     first = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]) if len(token) else np.zeros(0, bool)
@@ -156,33 +153,6 @@ def _shared_runs(table: pa.Table) -> pa.Table:
     return pa.table({"token": token.view(np.int64), "cls": cls, "n": n, "band": band, "pivot": pivot})
 
 
-def _with_class(batches):
-    for b in batches:
-        cls = [_class_of(set_digest(x)) if len(x := shingle_set(t.as_py())) else None for t in b.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), b.column(0)], names=["cls", "text"])
-
-
-def _verify(num: int, den: int):
-    def run(batches):
-        kept: dict[int, np.ndarray] = {}
-        for b in batches:
-            ok = []
-            ca, cb = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a, z, ta, tb in zip(ca, cb, b.column(2), b.column(3), strict=True):
-                if len(kept) > 64:
-                    kept.clear()
-                for c, t in ((a, ta), (z, tb)):
-                    if c not in kept:
-                        kept[c] = shingle_set(t.as_py())
-                x, y = kept[a], kept[z]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both * den >= num * (len(x) + len(y) - both))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
-
-    return run
-
-
 def _with_set(batches):
     for b in batches:
         sets = [shingle_set(t.as_py()) for t in b.column(0)]
@@ -240,21 +210,24 @@ def _search_group(num: int, den: int):
     return run
 
 
-def _open_groups(runs: DataFrame, homes: DataFrame, num: int, den: int) -> DataFrame:
+def _open_groups(runs: DataFrame, homes: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     """The groups to open for each class: ``(cls, grp)``, from the token-group matrix.
 
     The matrix has a row per token and a column per group, set where the union of its members' prefix
     tokens holds the token.  A class is compared with the unions, never with other classes; the cells it
     shares with a group bound its intersection with every member.  A pair of groups is looked at
-    from one side: from classes without a link to linked ones, else by the order of the groups.
+    from one side: from classes without a link to linked ones, else by the order of the groups.  Groups
+    of one component are settled.  ``grp`` holds a hash of the home, then ``TIED``, then the band.
     """
-    held = runs.select("token", "cls", "n").join(homes.select("cls", "grp", "home", "tied"), "cls")
-    union = held.select("token", F.col("grp").alias("g"), F.col("home").alias("h"), F.col("tied").alias("t")).distinct()
-    sides = (F.col("tied") < F.col("t")) | ((F.col("tied") == F.col("t")) & (F.col("grp") <= F.col("g")))
-    settled = F.col("tied") & F.col("t") & (F.col("home") == F.col("h"))
-    overlap = held.join(union, "token").where(sides & ~settled).groupBy("cls", "n", "g").agg(F.count("*").alias("shared"))
+    # by token once: the unions are read off the same partitions
+    held = runs.select("token", "cls").join(homes.select("cls", "grp"), "cls").repartition(parts, "token")
+    union = held.select("token", F.col("grp").alias("g")).distinct()
+    tied, t = (F.col(c).bitwiseAND(TIED) for c in ("grp", "g"))
+    sides = (tied < t) | ((tied == t) & (F.col("grp") <= F.col("g")))
+    settled = (tied != 0) & (t != 0) & (F.shiftright("grp", 8) == F.shiftright("g", 8))
+    overlap = held.join(union, "token").where(sides & ~settled).groupBy("cls", "g").agg(F.count("*").alias("shared"))
     sizes = homes.groupBy(F.col("grp").alias("g")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    overlap = overlap.join(sizes, "g")
+    overlap = overlap.join(homes.select("cls", "n"), "cls").join(sizes, "g")
 
     ceil = lambda c, over: F.floor((c + over - 1) / over)
     rest = lambda c: ceil(c * num, den) - 1
@@ -308,59 +281,52 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     total = narrow.agg(F.sum(F.floor(F.col("n") / 4) + 1).alias("s")).first()["s"] or 0
     parts = int(max(shuffle_width(spark), total // CHUNK_TOKENS + 1))
 
-    packed = rows.where("id is not null").select("text").mapInArrow(_pack_prefixes(level, parts, num, den), "part int, entries binary, owners binary, sizes binary, alone binary")
+    packed = rows.where("id is not null").select("text").mapInArrow(_pack_prefixes(level, parts, num, den), "part int, tokens binary, owners binary")
     runs = checkpointed(packed.groupBy("part").applyInArrow(_shared_runs, "token long, cls long, n long, band long, pivot long"))
 
     members = narrow.where("id is not null and sig is not null").groupBy("sig", "cls").agg(F.min("id").alias("rep"))
     members = checkpointed(members)
     classes = members.select("cls", "rep")
 
-    def texts(wanted: DataFrame) -> DataFrame:
-        """Texts of representatives of the classes ``wanted``."""
-        wanted = checkpointed(wanted.join(classes, "cls").select(F.col("rep").alias("id")).distinct())
+    def search(members: DataFrame, askers: DataFrame) -> DataFrame:
+        """Links between the members of groups ``(grp, cls, n, tied)`` and the classes they are opened for, in blocks."""
+        wanted = members.select("cls").unionAll(askers.select("cls")).join(classes, "cls").select(F.col("rep").alias("id")).distinct()
+        wanted = checkpointed(wanted)
         if wanted.count() <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
-        return rows.join(wanted, "id").select("text")
+        sets = rows.join(wanted, "id").select("text").mapInArrow(_with_set, "cls long, tokens binary").dropDuplicates(["cls"])
+        blocks = lambda of, name: of.groupBy("grp").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).alias(name))
+        count = blocks(members, "mb").join(blocks(askers, "qb"), "grp")
+
+        def placed(of: DataFrame, own: str, other: str, role: int) -> DataFrame:
+            """The rows of a side, in a block of its own and once for each block of the other side."""
+            of = of.join(count, "grp").withColumn(own, F.pmod(F.xxhash64("cls"), F.col(own)))
+            return of.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("grp", "mb", "qb", "cls", "tied", F.lit(role).alias("role"))
 
-    def of_representatives(links: DataFrame) -> DataFrame:
+        sides = placed(members, "mb", "qb", 1).unionAll(placed(askers, "qb", "mb", 0)).join(sets, "cls")
+        found = sides.select("grp", "mb", "qb", "cls", "tied", "role", "tokens").groupBy("grp", "mb", "qb").applyInArrow(_search_group(num, den), "a long, b long")
         one, two = classes.select(F.col("cls").alias("a"), F.col("rep").alias("u")), classes.select(F.col("cls").alias("b"), F.col("rep").alias("v"))
-        return checkpointed(links.join(one, "a").join(two, "b").select("u", "v"))
+        return checkpointed(found.join(one, "a").join(two, "b").select("u", "v"))
 
     # each class and the pivot that it shares most tokens with
     fewest = F.ceil(F.col("n") * F.lit((den - num) * num / (den * (num + den)))) - 1
     shares = runs.groupBy("cls", "n", "band", "pivot").agg(F.count("*").alias("shared"))
     other = F.when(F.col("pivot") != F.col("cls"), F.struct("shared", "pivot"))
     pivots = checkpointed(shares.groupBy("cls", "n", "band").agg(F.sum("shared").alias("held"), F.max(other).alias("best")).select("cls", "n", "band", "held", "best.*"))
-    tries = checkpointed(pivots.where(F.col("shared") >= fewest).select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
-    ends = tries.select(F.col("a").alias("cls")).unionAll(tries.select(F.col("b").alias("cls"))).distinct()
-    held = texts(ends).mapInArrow(_with_class, "cls long, text binary").dropDuplicates(["cls"])
-    ta, tb = held.select(F.col("cls").alias("a"), F.col("text").alias("ta")), held.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-    links = of_representatives(tries.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(num, den), "a long, b long"))
+    tries = pivots.where(F.col("shared") >= fewest).select(F.col("pivot").alias("grp"), "cls", "n", F.lit(False).alias("tied"))
+    centres = tries.select(F.col("grp").alias("cls")).distinct().join(pivots.select("cls", "n"), "cls").select(F.col("cls").alias("grp"), "cls", "n", F.lit(False).alias("tied"))
+    links = search(centres, tries)
 
     comp = components(links).withColumnRenamed("node", "rep")
     linked = checkpointed(classes.join(comp, "rep", "left").select("cls", F.coalesce("component", "rep").alias("home"), F.col("component").isNotNull().alias("tied")))
     near = linked.select(F.col("cls").alias("pivot"), F.col("home").alias("near"))
     close = F.col("shared") * 2 >= F.col("held")  # most of what it shares with any class
     homes = pivots.join(linked, "cls").join(near, "pivot", "left").select("cls", "n", "band", F.when(~F.col("tied") & close, F.coalesce("near", "home")).otherwise(F.col("home")).alias("home"), "tied")
-    homes = checkpointed(homes.withColumn("grp", F.xxhash64("home", "tied", "band")))
-    opened = checkpointed(_open_groups(runs, homes, num, den))
-
-    # sets of all that is to be compared, in blocks
-    members_of = homes.join(opened.select("grp").distinct(), "grp", "left_semi").select("grp", "cls", "n", "tied")
-    askers = opened.join(homes.select("cls", "n", "tied"), "cls")
-    sets = texts(opened.select("cls").unionAll(members_of.select("cls")).distinct()).mapInArrow(_with_set, "cls long, tokens binary")
-    sets = checkpointed(sets.where("cls is not null").dropDuplicates(["cls"]))
-    blocks = lambda of, name: of.groupBy("grp").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).alias(name))
-    count = checkpointed(blocks(members_of, "mb").join(blocks(askers, "qb"), "grp"))
-
-    def placed(of: DataFrame, own: str, other: str, role: int) -> DataFrame:
-        """The rows of a side, in a block of its own and once for each block of the other side."""
-        of = of.join(count, "grp").withColumn(own, F.pmod(F.xxhash64("cls"), F.col(own)))
-        return of.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("grp", "mb", "qb", "cls", "tied", F.lit(role).alias("role"))
-
-    sides = placed(members_of, "mb", "qb", 1).unionAll(placed(askers, "qb", "mb", 0)).join(sets, "cls")
-    found = sides.select("grp", "mb", "qb", "cls", "tied", "role", "tokens").groupBy("grp", "mb", "qb").applyInArrow(_search_group(num, den), "a long, b long")
-    links = links.unionAll(of_representatives(found))
+    grp = F.shiftleft(F.shiftright(F.xxhash64("home"), 8), 8) + F.when(F.col("tied"), TIED).otherwise(0) + F.col("band")
+    homes = checkpointed(homes.select("cls", "n", "tied", grp.alias("grp")))
+    opened = checkpointed(_open_groups(runs, homes, parts, num, den))
+    inside = homes.join(opened.select("grp").distinct(), "grp", "left_semi").select("grp", "cls", "n", "tied")
+    links = links.unionAll(search(inside, opened.join(homes.select("cls", "n", "tied"), "cls")))
 
     # an id with several texts ties their classes together
     several = narrow.where("id is not null").groupBy("id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("id")
