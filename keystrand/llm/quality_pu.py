@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +13,7 @@ from .common import text_or_empty
 
 GRAMS = 1024
 DENSE = 28
-#: Bounds of the training sample: rows that reach the driver as feature vectors.
+#: Bounds of the training samples of labelled rows, which reach the driver as feature vectors.
 MAX_POSITIVES = 3000
 MAX_UNLABELLED = 6000
 
@@ -106,16 +108,26 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, roun
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Class prior of the unlabelled rows: the least ratio of the shares above a score, U to P.
+    """Class prior of the unlabelled rows, from positives and unlabelled rows alone.
 
-    The scores are those of a first model with prior one half; thresholds leave at least a tenth of
-    the positives above.
+    The prior is at most the ratio of the shares above any score, U to P, and near it where the top scores
+    are pure.  The score to cut at is where the ratio plus its sampling error is least (best bin
+    estimation).  Two folds by a hash of the features: each is scored by a first model, of prior one
+    half, that is fitted on the other, so that no row is scored by a model that has seen it.
     """
-    model = fit_nnpu(positive, unlabelled, 0.5, rounds=150)
-    sp, su = np.sort(model.score(positive)), np.sort(model.score(unlabelled))
-    cuts = np.quantile(sp, np.linspace(0.02, 0.9, 60))
-    ratio = (1 - np.searchsorted(su, cuts) / len(su)) / np.maximum(1 - np.searchsorted(sp, cuts) / len(sp), 1e-9)
-    return float(np.clip(ratio.min(), 0.05, 0.95))
+    of = lambda x: np.array([zlib.crc32(r.tobytes()) & 1 for r in x], bool)
+    fp, fu, found = of(positive), of(unlabelled), []
+    for fold in (False, True):
+        p, u = positive[fp == fold], unlabelled[fu == fold]
+        if not len(p) or not len(u) or len(p) == len(positive) or len(u) == len(unlabelled):
+            continue
+        model = fit_nnpu(positive[fp != fold], unlabelled[fu != fold], 0.5, rounds=150)
+        sp, su = np.sort(model.score(p)), np.sort(model.score(u))
+        above_p, above_u = 1 - np.arange(len(sp)) / len(sp), 1 - np.searchsorted(su, sp) / len(su)
+        error = np.sqrt(np.log(40) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+        best = int(((above_u + error) / above_p).argmin())
+        found.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(found), 0.05, 0.95)) if found else 0.5
 
 
 def held_out(id_: Column) -> Column:
@@ -125,26 +137,28 @@ def held_out(id_: Column) -> Column:
 
 def _feature_rows(batches):
     for b in batches:
-        x = [features(t.as_py() or "").tobytes() for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["kind", "x"])
+        x = [features(t.as_py() or "").tobytes() for t in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["id", "kind", "x"])
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", prior: float | None = None, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> PuModel | None:
-    """Fits on trusted positives and unlabelled documents, neither of them held out.
+    """Fits on trusted positives and on documents whose label is not looked at, none of them held out.
 
-    At most ``max_positives`` and ``max_unlabelled`` rows, the first by a hash of the id, reach the
-    driver as feature vectors; texts do not.  The class prior, unless given, is the share of
-    positives among the labelled rows that are not held out if these hold both labels, else
-    ``estimate_prior``.  None without positives or without documents.
+    Both are samples of the rows that ``labels`` lists, the first ``max_positives`` and
+    ``max_unlabelled`` by a hash of the id; the second takes rows of any label, null ones too, and never reads
+    it.  They reach the driver as feature vectors; texts do not.  The class prior, unless given, is
+    ``estimate_prior`` of these two samples.  Of several texts under one id one is taken, the same in
+    every run.  None without positives or without documents.
     """
-    seen = labels.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
-    first = F.xxhash64(F.col(id_col), F.lit(1))
-    positives = seen.where(F.col(label_col) == 1).select(id_col).distinct().orderBy(first, id_col).limit(max_positives)
-    others = docs.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()).select(id_col).orderBy(first, id_col).limit(max_unlabelled).distinct()
+    listed = labels.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"))
+    first = F.xxhash64("id", F.lit(1))
+    positives = listed.where("label = 1").select("id").distinct().orderBy(first, "id").limit(max_positives)
+    others = listed.select("id").distinct().orderBy(first, "id").limit(max_unlabelled)
     picked = positives.withColumn("kind", F.lit(1)).unionAll(others.withColumn("kind", F.lit(0)))
     # bounded by the two limits, so it may be broadcast
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select("kind", text_col)
-    got = rows.mapInArrow(_feature_rows, "kind int, x binary").limit(2 * (max_positives + max_unlabelled)).toPandas()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    rows = rows.select("id", "kind", "text").mapInArrow(_feature_rows, "id long, kind int, x binary")
+    got = rows.groupBy("id", "kind").agg(F.min("x").alias("x")).select("kind", "x").toPandas()
     if not len(got) or not (got.kind == 1).any() or not (got.kind == 0).any():
         return None
     # rows arrive in any order; a fixed order makes reruns agree
@@ -154,14 +168,13 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     del got
     u, p = x[:split], x[split:]
     if prior is None:
-        tally = {r[label_col]: r["count"] for r in seen.groupBy(label_col).count().collect()}
-        both = tally.get(0, 0) and tally.get(1, 0)
-        prior = tally[1] / (tally[0] + tally[1]) if both else estimate_prior(p, u)
+        prior = estimate_prior(p, u)
     return fit_nnpu(p, u, float(np.clip(prior, 0.01, 0.99)))
 
 
 def score_quality(docs: DataFrame, model: PuModel | None, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Scores every whole text: ``id, held_out, score, predicted``; with ``keep`` all columns of ``docs`` and ``score``.
+    """Scores every whole text: ``id, held_out, score, predicted``; with ``keep`` all columns of ``docs`` and
+    ``quality_score``, to which an input column of that name gives way.
 
     Null texts count as empty, and empty texts have a score too; without a model every score is 0.5;
     repeated rows are kept; empty tables give an empty result.  A map over rows, without a shuffle.
@@ -180,5 +193,6 @@ def score_quality(docs: DataFrame, model: PuModel | None, *, id_col: str = "doc_
 
     rows = docs.select(text_or_empty(F.col(text_col)).alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).mapInArrow(run, schema)
     if keep:
-        return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("score").alias("quality_score"))
+        own = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c.lower() != "quality_score"]
+        return rows.select(*own, F.col("score").alias("quality_score"))
     return rows.select(F.col("c0").alias(id_col), held_out(F.col("c0")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

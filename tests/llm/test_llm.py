@@ -13,7 +13,7 @@ from keystrand.llm.covertree_topk import top_k
 from keystrand.llm.itq_dedup import embedding_dedup
 from keystrand.llm.license_scan import scan_licenses
 from keystrand.llm.pareto_mix import mix_sources
-from keystrand.llm.quality_pu import score_quality, train_quality
+from keystrand.llm.quality_pu import estimate_prior, score_quality, train_quality
 from keystrand.llm.rindex_dedup import RunLengthIndex, dedup_substrings
 from keystrand.llm.site_style_tree import extract_main_text
 from keystrand.llm.tgm_jaccard import jaccard_components
@@ -325,3 +325,31 @@ def test_quality_orders_held_out_rows(spark):
     hit = [got[i]["predicted"] == int(i % 4 > 0) for i in range(600) if got[i]["held_out"]]
     assert sum(hit) >= 0.95 * len(hit) and 0 <= got[1000]["score"] <= 1
     assert train_quality(d, labels.limit(0)) is None
+
+
+def test_quality_learns_no_negative_label(spark):
+    rng = random.Random(4)
+    good = lambda i: words(rng, 50) if i % 4 else "$$$ ".join(words(rng, 50).upper().split())
+    d = docs(spark, [*((i, good(i)) for i in range(900)), (3, "another text of this id"), (5, None), (2000, "x " * 200_000)])
+    labels = [(i, int(i % 4 > 0)) for i in range(900)]
+    own = spark.createDataFrame(labels, "doc_id long, quality int")
+    hidden = spark.createDataFrame([(i, q or None) for i, q in labels], "doc_id long, quality int")
+    one, two = (train_quality(d, x) for x in (own, hidden))
+    assert np.array_equal(one.w, two.w) and np.array_equal(one.w, train_quality(d.repartition(7), own).w)
+    got = score_quality(d, one).collect()
+    assert len(got) == 903
+    hit = [r["predicted"] == int(r["doc_id"] % 4 > 0) for r in got if r["held_out"] and r["doc_id"] not in (3, 5, 2000)]
+    assert sum(hit) >= 0.95 * len(hit)
+    clash = d.withColumnRenamed("score", "quality_score")
+    kept = score_quality(clash, one, keep=True)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "quality_score"] and kept.where("quality_score between 0 and 1").count() == 903
+    assert score_quality(d.limit(0), one).count() == 0
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(2)
+    draw = lambda n, at: (rng.standard_normal((n, 6)) + at).astype(np.float32)
+    for prior in (0.3, 0.6, 0.85):
+        n = int(4000 * prior)
+        found = estimate_prior(draw(2000, 1.5), np.concatenate([draw(n, 1.5), draw(4000 - n, -1.5)]))
+        assert abs(found - prior) < 0.06
