@@ -18,6 +18,8 @@ ANCHOR = 32
 INDEX_SPANS = 4096
 #: Entries that a map task packs at a time.
 CHUNK_ENTRIES = 1_000_000
+#: Bytes of text whose anchors one part takes, on average; parts grow with the texts.
+PART_BYTES = 1 << 24
 _STEP = PIECE - 4096
 _B = 0x9E3779B97F4A7C15 | 1
 _TABLES: list[np.ndarray] = []
@@ -307,8 +309,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ``spans`` are the byte spans covered by strings of ``length`` bytes that start earlier too: at a
     smaller id, or in the same document before.  ``doc`` is a hash of the text.
     """
-    parts = 2 * shuffle_width(docs.sparkSession)
     binary = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(2 * shuffle_width(docs.sparkSession), size // PART_BYTES + 1)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(binary).alias("doc"), binary.alias("text"))
     packed = texts.where(F.length("text") >= length).mapInArrow(_pack_anchors(parts, length), _Packer.SCHEMA)
     found = "kind int, id long, doc long, a int, w int, h long"
@@ -339,8 +342,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
        settle it exactly as in step 2.
 
     Result: ``id, n_bytes, n_removed, n_spans, kept_sha256`` and with ``keep`` all columns of
-    ``docs``, the text replaced by what is left (bytes of characters cut in two go), and ``removed``,
-    the spans.  Null texts are empty; null ids come last in order; repeated rows of equal id and text
+    ``docs``, the text replaced by what is left (bytes of characters cut in two go), and a struct ``dedup``
+    with the spans ``removed`` (an input column of that name gives way to it).  Null texts are empty; null ids come last in order; repeated rows of equal id and text
     are one document, so both stay; rows of equal id and different text are in the order of a hash;
     empty tables give an empty result; other columns are not read.
     """
@@ -384,5 +387,5 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = ["row"]
     row_type = rows.schema["row"].dataType.simpleString()
     done = rows.mapInArrow(run, f"row {row_type}, {digest}, left string, removed array<struct<start:int,end:int>>")
-    columns = [F.col("left").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    columns = [F.col("left").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() != "dedup"]
     return done.select(*columns, F.struct("n_bytes", "n_removed", "n_spans", "removed").alias("dedup"))

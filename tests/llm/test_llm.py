@@ -5,9 +5,10 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keystrand.llm.bpe import encode_decode
-from keystrand.llm import common, shingles, tgm_jaccard
+from keystrand.llm import common, rindex_dedup, shingles, tgm_jaccard
 from keystrand.llm.common import components
 from keystrand.llm.covertree_topk import top_k
 from keystrand.llm.itq_dedup import embedding_dedup
@@ -150,8 +151,13 @@ def test_words_hash_apart():
     assert len(got) == 9 and len(set(got.tolist())) == 7 and got[0] == got[2] and got[3] == got[8]
 
 
-def test_substrings_against_brute_force(spark):
-    texts, seen, expected = corpus(), set(), {}
+@pytest.mark.parametrize("spans", [3, 4096])
+def test_substrings_against_brute_force(spark, monkeypatch, spans):
+    rng = random.Random(9)
+    line = words(rng, 40)
+    long = " ".join(words(rng, 300) + " " + line for _ in range(350))  # over the size of a piece
+    hot = [words(rng, 3) + " " + line + " " + words(rng, 3) for _ in range(30)]
+    texts, seen, expected = list(enumerate([*(x for _, x in corpus()), long, long[1000:9000], *hot])), set(), {}
     for i, x in texts:
         b = (x or "").encode()
         gone = [False] * len(b)
@@ -162,10 +168,14 @@ def test_substrings_against_brute_force(spark):
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         expected[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    monkeypatch.setattr(rindex_dedup, "INDEX_SPANS", spans)
+    monkeypatch.setattr(rindex_dedup, "PART_BYTES", 5000)
     got = {r[0]: tuple(r)[1:] for r in dedup_substrings(docs(spark, texts)).collect()}
     assert got == expected
-    kept = dedup_substrings(docs(spark, texts), keep=True)
-    assert kept.columns[:-1] == DOC.replace(" string", "").replace(" long", "").split(", ")
+    assert dedup_substrings(docs(spark, [])).count() == 0
+    kept = dedup_substrings(docs(spark, texts).withColumn("dedup", F.lit(1)), keep=True)
+    assert kept.columns[:-1] == DOC.replace(" string", "").replace(" long", "").split(", ") and kept.columns[-1] == "dedup"
+    assert sorted(len((r["text"] or "").encode()) for r in kept.collect()) <= sorted(x[0] - x[1] for x in expected.values())
 
 
 def test_run_length_index_marks_earlier_matches():
