@@ -14,8 +14,8 @@ from .common import text_or_empty
 GRAMS = 1024
 DENSE = 28
 #: Bounds of the training samples of labelled rows, which reach the driver as feature vectors.
-MAX_POSITIVES = 3000
-MAX_UNLABELLED = 6000
+MAX_POSITIVES = 2000
+MAX_UNLABELLED = 4000
 
 _PAIR = (np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(GRAMS)
 _PAIR = _PAIR.astype(np.int64)
@@ -68,8 +68,14 @@ class PuModel:
         self.mean, self.scale, self.w, self.b = mean, scale, w, b
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.w + self.b
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        mean, scale, w = (v.astype(np.float32) for v in (self.mean, self.scale, self.w))
+        z = np.empty(len(x))
+        for at in range(0, len(x), 512):  # few rows at a time: the driver scores its samples too
+            part = x[at : at + 512] - mean
+            part /= scale
+            np.clip(part, -8, 8, out=part)
+            z[at : at + 512] = part @ w
+        return 1 / (1 + np.exp(-np.clip(z + self.b, -30, 30)))
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, rounds: int = 500, rate: float = 0.02, decay: float = 3e-4) -> PuModel:
@@ -80,10 +86,10 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, roun
     """
     n = len(positive) + len(unlabelled)
     mean = (positive.sum(0, dtype=np.float64) + unlabelled.sum(0, dtype=np.float64)) / n
-    spread = sum(np.square(x - mean.astype(np.float32)).sum(0, dtype=np.float64) for x in (positive, unlabelled))
-    scale = np.sqrt(spread / n) + 1e-3
     # single precision and in place: these are the largest arrays that the driver holds
     p, u = (x - mean.astype(np.float32) for x in (positive, unlabelled))
+    spread = sum(np.einsum("ij,ij->j", x[at : at + 512], x[at : at + 512], dtype=np.float64) for x in (p, u) for at in range(0, len(x), 512))
+    scale = np.sqrt(spread / n) + 1e-3
     for x in (p, u):
         x /= scale.astype(np.float32)
         np.clip(x, -8, 8, out=x)
@@ -118,13 +124,13 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     of = lambda x: np.array([zlib.crc32(r.tobytes()) & 1 for r in x], bool)
     fp, fu, found = of(positive), of(unlabelled), []
     for fold in (False, True):
-        p, u = positive[fp == fold], unlabelled[fu == fold]
-        if not len(p) or not len(u) or len(p) == len(positive) or len(u) == len(unlabelled):
+        n_p, n_u = int((fp == fold).sum()), int((fu == fold).sum())
+        if n_p in (0, len(fp)) or n_u in (0, len(fu)):
             continue
         model = fit_nnpu(positive[fp != fold], unlabelled[fu != fold], 0.5, rounds=150)
-        sp, su = np.sort(model.score(p)), np.sort(model.score(u))
+        sp, su = np.sort(model.score(positive)[fp == fold]), np.sort(model.score(unlabelled)[fu == fold])
         above_p, above_u = 1 - np.arange(len(sp)) / len(sp), 1 - np.searchsorted(su, sp) / len(su)
-        error = np.sqrt(np.log(40) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+        error = np.sqrt(np.log(40) / 2) * (n_p**-0.5 + n_u**-0.5)
         best = int(((above_u + error) / above_p).argmin())
         found.append(above_u[best] / above_p[best])
     return float(np.clip(np.mean(found), 0.05, 0.95)) if found else 0.5
@@ -158,15 +164,17 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     # bounded by the two limits, so it may be broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
     rows = rows.select("id", "kind", "text").mapInArrow(_feature_rows, "id long, kind int, x binary")
-    got = rows.groupBy("id", "kind").agg(F.min("x").alias("x")).select("kind", "x").toPandas()
-    if not len(got) or not (got.kind == 1).any() or not (got.kind == 0).any():
+    got = rows.groupBy("id", "kind").agg(F.min("x").alias("x")).toArrow()
+    kind, ids = got.column("kind").to_numpy(), got.column("id").to_numpy()
+    if not (kind == 1).any() or not (kind == 0).any():
         return None
-    # rows arrive in any order; a fixed order makes reruns agree
-    got = got.sort_values(["kind", "x"], kind="stable")
-    split = int((got.kind == 0).sum())
-    x = np.frombuffer(b"".join(got.x), np.float32).reshape(len(got), -1)
+    x = np.empty((len(kind), GRAMS + DENSE), np.float32)
+    for i, row in enumerate(got.column("x")):
+        x[i] = np.frombuffer(row.as_buffer(), np.float32)
     del got
-    u, p = x[:split], x[split:]
+    # rows arrive in any order; a fixed order makes reruns agree
+    u, p = (x[np.flatnonzero(kind == k)[np.argsort(ids[kind == k])]] for k in (0, 1))
+    del x
     if prior is None:
         prior = estimate_prior(p, u)
     return fit_nnpu(p, u, float(np.clip(prior, 0.01, 0.99)))
