@@ -23,3 +23,6 @@ class InvalidArgument(StoreError, ValueError):
 
 class IOFault(StoreError, OSError):
     """The storage below failed."""
+
+class Conflict(StoreError):
+    """Another writer has published a version first."""

@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, StringType
 
 #: Native keys are longs in 1 .. 2^63 - 1; 0 is reserved, and so is the largest unsigned key.
 MIN_KEY, MAX_KEY = 1, 2**63 - 1
 UNSIGNED_MAX = 2**64 - 1
 
 
-def is_reserved(key: Column) -> Column:
-    return key.isNull() | (key < MIN_KEY)
+def is_reserved(key: Column, kind: DataType | None = None) -> Column:
+    """Keys that no record may have: null, and long keys under 1."""
+    return key.isNull() if isinstance(kind, (BinaryType, StringType)) else key.isNull() | (key < MIN_KEY)
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Longest common prefix of two byte keys."""
+    same = lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n)
+    lengths = F.sequence(F.lit(0), F.least(F.octet_length(a), F.octet_length(b)))
+    return F.substring(a, F.lit(1), F.array_max(F.filter(lengths, same)))
 
 
 def key_bytes(key: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from bisect import insort
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrand.functions.keys import MAX_KEY
@@ -117,7 +118,47 @@ def hit_sum(hist: DataFrame, part, epochs: float) -> DataFrame:
     return hist.agg((F.sum(F.col("cnt") * part / (F.col("upper") - F.col("lower"))) * epochs).alias("expected"))
 
 
-def future_goal(goal: float, epsilon: float, pages: int, forecast: float, overestimate: float = 1.0) -> float:
-    """Records per page to aim at, so that the forecast inserts fit."""
-    now = overestimate * pages * (goal + 2 * epsilon)
-    return max(2 * epsilon, max(1.0, goal * now / (now + forecast)))
+def future_goal(goal: int, epsilon: float, pages: Column, forecast: Column, overestimate: float = 1.0) -> Column:
+    """Records per page to aim at, so that the forecast inserts fit; whole records, as pages hold them."""
+    now = (pages * int(goal + 2 * epsilon)).cast("double") * overestimate
+    shrunk = F.greatest(F.lit(1).cast("long"), F.floor(goal * now / (now + forecast)))
+    return F.greatest(F.lit(int(2 * epsilon)).cast("long"), shrunk)
+
+
+def deferral_carry_over(writes: DataFrame, per_flush: int, io_threshold: int, max_deferrals: int) -> DataFrame:
+    """Deferred flushes of writes ``seq, page``: ``page, writes, ios, pending``.
+
+    The buffer is flushed after every ``per_flush`` writes.  A page with pending writes is written if
+    they are ``io_threshold`` or more, or if it was passed over ``max_deferrals`` times since it was
+    last written; otherwise its writes carry over.  ``pending`` are those left after the last flush.
+    The fold runs along each page's flushes, pre-aggregated to one row per page and flush.
+    """
+    flushes = writes.agg(F.floor((F.max("seq") + 1) / per_flush).alias("flushes"))
+    counts = writes.groupBy("page", F.floor(F.col("seq") / per_flush).alias("flush")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(flushes))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("flush")
+        total, pending, passed, ios, at = int(pdf["flushes"].iloc[0]), 0, 0, 0, 0
+
+        def idle(upto: int) -> None:
+            """The flushes before ``upto`` that bring nothing new to the page."""
+            nonlocal pending, passed, ios, at
+            if pending and at + max(0, max_deferrals - passed) < upto:
+                at += max(0, max_deferrals - passed) + 1
+                pending, passed, ios = 0, 0, ios + 1
+            passed, at = passed + max(0, upto - at), max(at, upto)
+
+        for flush, n in zip(pdf["flush"].tolist(), pdf["n"].tolist(), strict=True):
+            idle(min(flush, total))
+            pending += n
+            if flush >= total:
+                break
+            if pending >= io_threshold or passed >= max_deferrals:
+                pending, passed, ios = 0, 0, ios + 1
+            else:
+                passed += 1
+            at = flush + 1
+        idle(total)
+        return pd.DataFrame({"page": [pdf["page"].iloc[0]], "writes": [int(pdf["n"].sum())], "ios": [ios], "pending": [pending]})
+
+    return counts.groupBy("page").applyInPandas(fold, "page long, writes long, ios long, pending long")

@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrand.functions.keys import is_reserved
+from keystrand.operators.numbering import number_rows
+from keystrand.shared import checkpointed
 
 
 def load_violations(rows: DataFrame) -> DataFrame:
     """Counts of reserved, duplicate and unordered keys of rows ``pos, key`` to be loaded.
 
-    The order check looks at neighbours by position; positions are cut in ranges that overlap by one.
+    The order check numbers the rows by position, which need not be without gaps, and looks at neighbours.
     """
-    reserved = rows.agg(F.count(F.when(is_reserved(F.col("key")), 1)).alias("reserved"), F.count("*").alias("n"))
+    reserved = rows.agg(F.count(F.when(is_reserved(F.col("key"), rows.schema["key"].dataType), 1)).alias("reserved"), F.count("*").alias("n"))
     dup = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").agg(F.count("*").alias("duplicate_keys"))
-    after = rows.select((F.col("pos") - 1).alias("pos"), F.col("key").alias("next_key"))
-    bad = rows.join(after, "pos").agg(F.count(F.when(F.col("next_key") <= F.col("key"), 1)).alias("unordered"))
+    numbered = checkpointed(number_rows(rows.select("pos", "key"), "pos"))
+    after = numbered.select((F.col("rn") - 1).alias("rn"), F.col("key").alias("next_key"))
+    bad = numbered.join(after, "rn").agg(F.count(F.when(F.col("next_key") <= F.col("key"), 1)).alias("unordered"))
     one = F.lit(1)
     return reserved.withColumn("_", one).join(dup.withColumn("_", one), "_").join(bad.withColumn("_", one), "_").drop("_")
 
@@ -39,3 +42,14 @@ def dangling(refs: DataFrame, targets: DataFrame, on: str) -> DataFrame:
 def page_violations(packed: DataFrame, pages: DataFrame) -> DataFrame:
     """Records outside the bounds of their page."""
     return packed.join(pages, "page").where((F.col("key") < F.col("lower")) | (F.col("key") > F.col("last"))).select("page", "key")
+
+
+def scan_violations(rows: DataFrame) -> DataFrame:
+    """Keys that a scan would show more than once: ``key, n``."""
+    return rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def contiguity_violations(pages: DataFrame) -> DataFrame:
+    """Pages whose upper bound is not the next page's lower bound: ``page, upper, next_lower``; the last has no next."""
+    after = pages.select((F.col("page") - 1).alias("page"), F.col("lower").alias("next_lower"))
+    return pages.join(after, "page").where("upper <> next_lower").select("page", "upper", "next_lower")

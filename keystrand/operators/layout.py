@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrand.functions.keys import MAX_KEY
 from keystrand.functions.plr import SEGMENT_PAGES, build_segments, fit_runs, page_lower_bounds
-from keystrand.operators.numbering import number_rows, range_bucket
+from keystrand.operators.numbering import in_order, number_rows, range_bucket
+from keystrand.shared import checkpointed
 
 PAGE_SCHEMA = "shard int, base_key long, page_count int, slope double, intercept double, page_idx int, lower long, upper long, n_records long"
 
@@ -113,21 +117,67 @@ def layout_check(pages: DataFrame, goal: float, epsilon: float) -> DataFrame:
     return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k")
 
 
+def _carry_forward(batches):
+    """Fills each asked key with the last interval before it, from the partition or from those before."""
+    last = None
+    for b in batches:
+        hit, carry = b.column("hit"), b.column("carry")
+        known = hit.is_valid().to_numpy(zero_copy_only=False)
+        at = np.maximum.accumulate(np.where(known, np.arange(b.num_rows), -1))
+        fill = last if last is not None else carry[0] if b.num_rows else None
+        found = pc.take(hit, pa.array(np.maximum(at, 0)))
+        if (at < 0).any():
+            found = pc.if_else(pa.array(at >= 0), found, pa.scalar(fill.as_py(), hit.type))
+        if known.any():
+            last = hit[int(at[-1])]
+        asked = pc.equal(b.column("kind"), 1)
+        yield pa.RecordBatch.from_arrays([b.column("key"), found], names=["key", "found"]).filter(asked)
+
+
 def interval_lookup(keys: DataFrame, intervals: DataFrame, id_col: str) -> DataFrame:
     """The interval ``[lower, upper)`` of each key by predecessor search; keys below the first clamp to it.
 
-    Intervals and keys are united and sorted together within key ranges cut at interval bounds, each
-    range led by its own interval start, so no side is broadcast and no pair is built.
+    Interval starts and keys are sorted together in ranges that follow the data; a salt splits a
+    key that many rows ask for.  The last start of each range is carried into the next ones, one row per
+    range, and one pass over the sorted rows fills the keys.  No pair is built and no key meets in one task.
     """
-    bounds = [int(b) for b in sorted(set(intervals.approxQuantile("lower", [i / 64 for i in range(1, 64)], 0.005)))]
-    marks = intervals.select(F.col("lower").alias("at"), F.col(id_col).alias("hit"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("key"))
-    asks = keys.select(F.col("key").alias("at"), F.lit(None).cast(intervals.schema[id_col].dataType).alias("hit"), F.lit(1).alias("kind"), "key")
-    rows = marks.unionByName(asks).withColumn("r", range_bucket(F.col("at"), bounds))
-    inside = Window.partitionBy("r").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = intervals.agg(F.min(F.struct("lower", F.col(id_col).alias("hit"))).alias("f")).first()["f"]
-    hit = F.last("hit", ignorenulls=True).over(inside)
-    out = rows.withColumn("found", hit).where("kind = 1")
-    return out.select("key", F.coalesce("found", F.lit(first["hit"] if first else None)).alias(id_col))
+    kind_of = intervals.schema[id_col].dataType
+    marks = checkpointed(intervals.select(F.col("lower").alias("at"), F.col(id_col).alias("hit"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("key"), F.lit(0).cast("long").alias("salt")))
+    asks = keys.select(F.col("key").alias("at"), F.lit(None).cast(kind_of).alias("hit"), F.lit(1).alias("kind"), "key", F.pmod(F.monotonically_increasing_id(), F.lit(4096)).alias("salt"))
+    rows = in_order(marks.unionByName(asks), "at", "kind", "salt")
+    first = marks.agg(F.min(F.struct("at", "hit")).alias("f")).select(F.col("f.hit").alias("first"))
+    ends = rows.groupBy("__part").agg(F.max(F.when(F.col("kind") == 0, F.struct("at", "hit"))).alias("end"))
+    before = F.max("end").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("__part", before.alias("before")).crossJoin(F.broadcast(first))  # one row per range
+    ends = ends.select("__part", F.coalesce("before.hit", "first").alias("carry"))
+    rows = rows.join(F.broadcast(ends), "__part").select("hit", "carry", "kind", "key")
+    return rows.mapInArrow(_carry_forward, f"key long, found {kind_of.simpleString()}").withColumnRenamed("found", id_col)
+
+
+def page_assignment(keys: DataFrame, pages: DataFrame) -> DataFrame:
+    """The learned page of each key: ``key, lower``, the page's lower bound."""
+    return interval_lookup(keys, pages.select("lower", F.col("lower").alias("page_lower")), "page_lower").withColumnRenamed("page_lower", "lower")
+
+
+def batch_by_segment(batch: DataFrame, segments: DataFrame) -> DataFrame:
+    """A write batch cut at the segments' bounds: ``segment_id, n, first_key, last_key``."""
+    placed = interval_lookup(batch, segments.select(F.col("base_key").alias("lower"), "segment_id"), "segment_id")
+    return placed.groupBy("segment_id").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
+def scan_page_estimate(position: Column, records: Column, page_count: Column, goal: int) -> Column:
+    """Pages of its first segment that a scan reads: what the page of the start's ``position`` does not hold, in whole pages."""
+    at = F.greatest(position, F.lit(0.0))
+    page = F.floor(at)
+    here = F.lit(goal) - (at - page) * goal
+    rest = records - here.cast("long")
+    more = F.least(F.ceil(rest / F.lit(float(goal))), page_count - page - 1)
+    return F.when((page_count <= 1) | (page >= page_count) | (rest <= 0), F.lit(1)).otherwise(1 + more).cast("long")
+
+
+def prefetch_pages(records: Column, goal: int) -> Column:
+    """Pages that a prefetching scan asks for; those beyond the pages it uses are over-fetched."""
+    return (2 + F.ceil(records / F.lit(float(goal)))).cast("long")
 
 
 def plr_runs(points: DataFrame, delta: float, method: str) -> DataFrame:

@@ -9,9 +9,9 @@ from keystrand.errors import InvalidArgument
 from keystrand.functions.keys import MIN_KEY
 
 
-def get(view: DataFrame, key: int) -> DataFrame:
+def get(view: DataFrame, key: int | bytes) -> DataFrame:
     """The row of a key, or none; reserved keys are never found."""
-    return view.where(F.col("key") == key) if key >= MIN_KEY else view.limit(0)
+    return view.where(F.col("key") == F.lit(key)) if isinstance(key, bytes) or key >= MIN_KEY else view.limit(0)
 
 
 def multi_get(view: DataFrame, keys: DataFrame) -> DataFrame:
@@ -19,13 +19,13 @@ def multi_get(view: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.select("key").distinct().join(view, "key", "left")
 
 
-def range_scan(view: DataFrame, start: int, limit: int) -> DataFrame:
-    """At most ``limit`` rows with ``key >= start``, ascending."""
-    if start < MIN_KEY:
+def range_scan(view: DataFrame, start: int | bytes, limit: int) -> DataFrame:
+    """At most ``limit`` rows with ``key >= start``, ascending; byte keys in byte order."""
+    if not isinstance(start, bytes) and start < MIN_KEY:
         raise InvalidArgument(f"reserved start key {start}")
     if limit < 0:
         raise InvalidArgument(f"negative limit {limit}")
-    return view.where(F.col("key") >= start).orderBy("key").limit(limit)
+    return view.where(F.col("key") >= F.lit(start)).orderBy("key").limit(limit)
 
 
 def range_between(view: DataFrame, start: int, end: int) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that keys are cut into; each is numbered by a task of its own.
-RANGES = 256
+from keystrand.shared import checkpointed
+
+#: ``monotonically_increasing_id`` holds the place in the partition in its low bits.
+_PLACE_BITS = 33
 
 
 def range_bucket(key: Column, bounds: list) -> Column:
@@ -21,20 +23,23 @@ def range_bucket(key: Column, bounds: list) -> Column:
     return tree(0, len(bounds))
 
 
-def number_rows(df: DataFrame, key: str, name: str = "rn", ranges: int = RANGES) -> DataFrame:
-    """Adds ``name``: 1, 2, ... in ascending order of a unique numeric key.
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows sorted over all partitions, written once, with their partition ``__part`` and place ``__place`` from 0.
+
+    Key ranges follow the data and the session's shuffle partitions, so their number is not fixed.
+    """
+    held = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    return held.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
+
+
+def number_rows(df: DataFrame, key: str, name: str = "rn") -> DataFrame:
+    """Adds ``name``: 1, 2, ... in ascending order of a unique key of any ordered type.
 
-    Approximate quantiles (at most ``ranges`` numbers) cut the keys into ranges of near-equal counts;
-    rows are numbered within ranges, and the counts of the ranges before are added.
+    Rows are sorted once in key ranges; a row's number is its place in its partition plus the rows of
+    the partitions before it, of which there is one count each.
     """
-    bounds = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
-    bounds = [int(b) for b in bounds]
-    df = df.withColumn("__range", range_bucket(F.col(key), bounds))
-    counts = {r["__range"]: r["count"] for r in df.groupBy("__range").count().collect()}  # at most ``ranges`` rows
-    before, total = [], 0
-    for i in range(len(bounds) + 1):
-        before.append(total)
-        total += counts.get(i, 0)
-    offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__range") + 1)
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key))
-    return df.withColumn(name, offset + inside).drop("__range")
+    rows = in_order(df, key)
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))  # one row per partition
+    return rows.join(F.broadcast(counts), "__part").withColumn(name, F.col("__before") + F.col("__place") + 1).drop("__part", "__place", "__before")

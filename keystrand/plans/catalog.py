@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keystrand.functions.keys import composite_key, key_bytes, split_key
+from keystrand import shared
+from keystrand.functions.keys import common_prefix, composite_key, key_bytes, split_key
 from keystrand.operators import analytics, forecast, fsck, layout, lookup, merge
 from keystrand.operators.numbering import number_rows
 from keystrand.sources import workloads
+from keystrand.shared import checkpointed
 from keystrand.sources.store import KVStore
 from keystrand.streaming import log_stream
 
@@ -311,10 +312,45 @@ def _(s, sf):
     return layout.flatten_chains(view(s, sf), 300, 44)
 
 
-def learned(s, sf):
+LEARNED_SQL = "SELECT DISTINCT CAST(floor(c_custkey * c_custkey / 8.0::DOUBLE + c_custkey + 1) AS BIGINT) AS key FROM customer"
+
+
+def learned_keys(s, sf):
     # squares leave gaps that grow, so that lines end
-    keys = t(s, sf, "customer").select((F.col("c_custkey") * F.col("c_custkey") / 8 + F.col("c_custkey") + 1).cast("long").alias("key")).distinct()
-    return layout.build_pages(keys, 44, 5, shards=4)
+    return t(s, sf, "customer").select((F.col("c_custkey") * F.col("c_custkey") / 8 + F.col("c_custkey") + 1).cast("long").alias("key")).distinct()
+
+
+def learned(s, sf):
+    return layout.build_pages(learned_keys(s, sf), 44, 5, shards=4)
+
+
+@query("page_assignment", f"SELECT CAST(0 AS BIGINT) AS misplaced, count(*) AS n FROM ({LEARNED_SQL})")
+def _(s, sf):
+    pages = checkpointed(learned(s, sf))
+    held = layout.page_assignment(learned_keys(s, sf), pages).groupBy("lower").agg(F.count("*").alias("n"))
+    both = pages.where("n_records > 0").select("lower", "n_records").join(held, "lower", "full")
+    return both.agg(F.count(F.when(~F.col("n").eqNullSafe(F.col("n_records")), 1)).alias("misplaced"), F.sum("n").alias("n"))
+
+
+@query("batch_by_segment", f"SELECT segment_id, count(*) AS n, min(k) AS first_key, max(k) AS last_key FROM (SELECT k, coalesce(g.segment_id, 0) AS segment_id FROM (SELECT DISTINCT l_orderkey * 3 + 1 AS k FROM lineitem) b ASOF LEFT JOIN ({SEG_SQL}) g ON b.k >= g.base_key) GROUP BY segment_id")
+def _(s, sf):
+    batch = t(s, sf, "lineitem").select((F.col("l_orderkey") * 3 + 1).alias("key")).distinct()
+    return layout.batch_by_segment(batch, segments(s, sf))
+
+
+SCAN_SQL = "SELECT event_id, (user_id % 170) / 10.0::DOUBLE AS pos, event_id % 500 + 1 AS amount, CAST(1 << (event_id % 5) AS BIGINT) AS pages FROM events"
+
+
+@query(
+    "scan_page_estimate",
+    f"""SELECT event_id, CASE WHEN pages <= 1 OR floor(pos) >= pages OR amount - here <= 0 THEN 1
+    ELSE 1 + least(CAST(ceil((amount - here) / 44.0::DOUBLE) AS BIGINT), pages - CAST(floor(pos) AS BIGINT) - 1) END AS pages,
+    2 + CAST(ceil(amount / 44.0::DOUBLE) AS BIGINT) AS prefetched
+FROM (SELECT *, CAST(trunc(44 - (pos - floor(pos)) * 44) AS BIGINT) AS here FROM ({SCAN_SQL}))""",
+)
+def _(s, sf):
+    e = t(s, sf, "events").select("event_id", (F.pmod("user_id", F.lit(170)) / 10.0).alias("pos"), (F.pmod("event_id", F.lit(500)) + 1).alias("amount"), F.expr("shiftleft(1L, cast(event_id % 5 as int))").alias("pages"))
+    return e.select("event_id", layout.scan_page_estimate(F.col("pos"), F.col("amount"), F.col("pages"), 44).alias("pages"), layout.prefetch_pages(F.col("amount"), 44).alias("prefetched"))
 
 
 @query("segments_build")
@@ -327,7 +363,7 @@ def _(s, sf):
     return learned(s, sf).select("lower", "upper", "page_idx", "n_records")
 
 
-@query("layout_check")
+@query("layout_check", f"SELECT CAST(0 AS BIGINT) AS pages_over, CAST(0 AS BIGINT) AS pages_under, CAST(0 AS BIGINT) AS segments_over, count(*) AS n_records FROM ({LEARNED_SQL})")
 def _(s, sf):
     return layout.layout_check(learned(s, sf), 44, 5)
 
@@ -346,6 +382,23 @@ for _method in ("greedy", "optimal"):
     query(f"plr_{_method}")(lambda s, sf, m=_method: layout.plr_runs(_points(s, sf), 10.0, m))
 
 
+POINTS_SQL = "SELECT DISTINCT (o_orderkey + 1) * 7 + (o_orderkey + 1) * (o_orderkey + 1) // 500 AS x FROM orders"
+
+
+def _bent_points(s, sf):
+    """Points on a curve, which no one line holds."""
+    k = F.col("key")
+    return number_rows(orders(s, sf).select((k * 7 + F.floor(k * k / 500)).alias("x")).distinct(), "x", "y").select("x", F.col("y").cast("double").alias("y"))
+
+
+for _method in ("greedy", "optimal"):
+
+    @query(f"plr_{_method}_bound", f"SELECT count(*) AS n, true AS several, true AS within FROM ({POINTS_SQL})")
+    def _(s, sf, m=_method):
+        runs = layout.plr_runs(_bent_points(s, sf), 10.0, m)
+        return runs.agg(F.sum("n").alias("n"), (F.count("*") > 1).alias("several"), (F.max("worst") <= 10.0 + 1e-6).alias("within"))
+
+
 # --- forecast --------------------------------------------------------------------------------
 
 INS_SQL = "SELECT event_id AS seq, user_id + 1 AS key FROM events"
@@ -391,10 +444,17 @@ def _(s, sf):
     return forecast.overlap_forecast(last, 20, 90, 2.0).select(F.round("expected", 6).alias("expected"))
 
 
-@query("future_goal", "SELECT greatest(10.0, greatest(1.0, 44.0 * 216.0 / (216.0 + count(*) / 100.0))) AS goal FROM events")
+@query("future_goal", "SELECT greatest(CAST(10 AS BIGINT), greatest(CAST(1 AS BIGINT), CAST(floor(44.0::DOUBLE * 216 / (216 + count(*) / 100.0::DOUBLE)) AS BIGINT))) AS goal FROM events")
 def _(s, sf):
     n = t(s, sf, "events").agg((F.count("*") / 100.0).alias("f"))
-    return n.select(F.greatest(F.lit(10.0), F.greatest(F.lit(1.0), 44.0 * 216.0 / (216.0 + F.col("f")))).alias("goal"))
+    return n.select(forecast.future_goal(44, 5, F.lit(4), F.col("f")).alias("goal"))
+
+
+@query("future_goal_by_island", f"""WITH n AS (SELECT segment_id // 16 AS region, count(*) AS pages, sum(n_records) AS inserts FROM ({SEG_SQL}) GROUP BY 1)
+SELECT region, greatest(CAST(10 AS BIGINT), CAST(floor(44 * (pages * 54 * 1.5::DOUBLE) / (pages * 54 * 1.5::DOUBLE + inserts)) AS BIGINT)) AS goal FROM n""")
+def _(s, sf):
+    n = segments(s, sf).groupBy(F.floor(F.col("segment_id") / 16).alias("region")).agg(F.count("*").alias("pages"), F.sum("n_records").alias("inserts"))
+    return n.select("region", forecast.future_goal(44, 5, F.col("pages"), F.col("inserts"), 1.5).alias("goal"))
 
 
 @query("throughput_samples", "SELECT event_id // 250 AS sample, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -407,6 +467,27 @@ def _(s, sf):
     return log(s, sf).groupBy(F.floor(F.col("seq") / 100).alias("flush_no"), F.floor(F.col("key") / 20).alias("page")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "deferral_carry_over",
+    f"""WITH RECURSIVE w AS (SELECT key // 20 AS page, seq // 100 AS f, count(*) AS n FROM ({LOG_SQL}) GROUP BY 1, 2),
+last AS (SELECT (max(seq) + 1) // 100 AS flushes FROM ({LOG_SQL})),
+run(page, f, pending, passed, ios) AS (
+    SELECT DISTINCT page, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM w
+    UNION ALL
+    SELECT page, f, CASE WHEN out THEN 0 ELSE held END, CASE WHEN out THEN 0 ELSE passed + 1 END, ios + CASE WHEN out THEN 1 ELSE 0 END
+    FROM (SELECT r.page, r.f + 1 AS f, r.pending + coalesce(w.n, 0) AS held, r.passed, r.ios,
+            r.pending + coalesce(w.n, 0) > 0 AND (r.pending + coalesce(w.n, 0) >= 15 OR r.passed >= 3) AS out
+        FROM run r LEFT JOIN w ON w.page = r.page AND w.f = r.f + 1 WHERE r.f + 1 < (SELECT flushes FROM last))
+)
+SELECT r.page, (SELECT CAST(sum(n) AS BIGINT) FROM w WHERE w.page = r.page) AS writes, r.ios,
+    CAST(r.pending + coalesce((SELECT sum(n) FROM w WHERE w.page = r.page AND w.f >= (SELECT flushes FROM last)), 0) AS BIGINT) AS pending
+FROM run r WHERE r.f = (SELECT flushes FROM last) - 1""",
+)
+def _(s, sf):
+    writes = log(s, sf).select("seq", F.floor(F.col("key") / 20).alias("page"))
+    return forecast.deferral_carry_over(writes, 100, 15, 3)
+
+
 # --- checks ----------------------------------------------------------------------------------
 
 
@@ -426,12 +507,30 @@ def _(s, sf):
     return view(s, sf).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").agg(F.count("*").alias("n"))
 
 
-@query("fsck_pages")
+@query("fsck_pages", f"SELECT page, key FROM ({PACK_SQL}) WHERE key IS NULL")
 def _(s, sf):
     rows = packed(s, sf)
     return fsck.page_violations(rows, layout.page_summary(rows))
 
 
+@query("fsck_shifted_pages", f"SELECT page, key FROM ({PACK_SQL}) JOIN (SELECT page, min(key) + page % 3 AS lower FROM ({PACK_SQL}) GROUP BY page) USING (page) WHERE key < lower")
+def _(s, sf):
+    rows = packed(s, sf)
+    return fsck.page_violations(rows, layout.page_summary(rows).withColumn("lower", F.col("lower") + F.col("page") % 3))
+
+
+@query("fsck_contiguous", f"WITH p AS (SELECT page, min(key) AS lower, max(key) + 1 + page % 2 AS upper FROM ({PACK_SQL}) GROUP BY page) SELECT page, upper, next_lower FROM (SELECT *, lead(lower) OVER (ORDER BY page) AS next_lower FROM p) WHERE upper <> next_lower")
+def _(s, sf):
+    pages = layout.page_summary(packed(s, sf)).withColumn("upper", F.col("last") + 1 + F.col("page") % 2)
+    return fsck.contiguity_violations(pages)
+
+
+@query("fsck_unmerged_scan", f"SELECT key, count(*) AS n FROM (SELECT key FROM ({BASE_SQL}) UNION ALL SELECT s_suppkey + 1 FROM supplier UNION ALL SELECT key FROM ({LATEST_SQL}) WHERE op = 'W') GROUP BY key HAVING count(*) > 1")
+def _(s, sf):
+    rows = base(s, sf).select("key").unionAll(t(s, sf, "supplier").select(F.col("s_suppkey") + 1)).unionAll(merge.latest_per_key(log(s, sf)).where("op = 'W'").select("key"))
+    return fsck.scan_violations(rows)
+
+
 # --- datasets --------------------------------------------------------------------------------
 
 
@@ -480,14 +579,13 @@ def _(s, sf):
 # --- persisted store, workloads, streams -------------------------------------------------------
 
 
-def shared_folder(s: SparkSession) -> str:
-    named = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.checkpoint.dir", None)
-    return f"{named or tempfile.mkdtemp(prefix='ks-')}/store-{uuid.uuid4().hex}"
+def new_folder(s: SparkSession) -> str:
+    return f"{shared.shared_folder(s)}/store-{uuid.uuid4().hex}"
 
 
 @query("kv_store_reopen", VIEW_SQL)
 def _(s, sf):
-    store = KVStore.open(s, shared_folder(s))
+    store = KVStore.open(s, new_folder(s))
     store.bulk_load(base(s, sf))
     store.write(log(s, sf).where("seq < 400"))
     store.flush()
@@ -495,9 +593,50 @@ def _(s, sf):
     return KVStore.open(s, store.path).view()
 
 
+BYTES_SQL = """SELECT key, value FROM (SELECT 'k' || c_custkey AS key, c_acctbal AS value FROM customer) WHERE key NOT IN (SELECT 'k' || (s_suppkey * 3) FROM supplier) AND key NOT IN (SELECT 'k' || (n_nationkey * 7 + 1) FROM nation)
+UNION ALL SELECT 'k' || (s_suppkey * 3), s_acctbal FROM supplier WHERE 'k' || (s_suppkey * 3) NOT IN (SELECT 'k' || (n_nationkey * 7 + 1) FROM nation)"""
+
+
+def bytes_store(s, sf):
+    """A store of byte-string keys: loaded, updated and thinned out, then opened again."""
+    key = lambda c: F.concat(F.lit("k"), c.cast("string")).cast("binary").alias("key")
+    store = KVStore.open(s, new_folder(s))
+    store.bulk_load(t(s, sf, "customer").select(key(F.col("c_custkey")), F.col("c_acctbal").alias("value")))
+    store.put(t(s, sf, "supplier").select(key(F.col("s_suppkey") * 3), F.col("s_acctbal").alias("value")))
+    store.delete(t(s, sf, "nation").select(key(F.col("n_nationkey") * 7 + 1)))
+    return KVStore.open(s, store.path)
+
+
+@query("kv_bytes_scan", f"SELECT key, value FROM ({BYTES_SQL}) WHERE key >= 'k1' ORDER BY key LIMIT 100")
+def _(s, sf):
+    return bytes_store(s, sf).scan(b"k1", 100).select(F.col("key").cast("string").alias("key"), "value")
+
+
+@query("kv_bytes_get", f"SELECT key, value FROM ({BYTES_SQL}) WHERE key IN ('k9', 'k8', 'k77')")
+def _(s, sf):
+    asked = s.createDataFrame([(b"k9",), (b"k8",), (b"k77",), (b"absent",)], "key binary")
+    return bytes_store(s, sf).multi_get(asked).where("value is not null").select(F.col("key").cast("string").alias("key"), "value")
+
+
+@query("common_prefix", "SELECT p_partkey, CASE WHEN p_name = p_brand THEN p_name ELSE left(p_name, CAST(list_max(list_filter(range(0, least(length(p_name), length(p_brand)) + 1), lambda n: left(p_name, n) = left(p_brand, n))) AS INTEGER)) END AS prefix FROM part")
+def _(s, sf):
+    return t(s, sf, "part").select("p_partkey", common_prefix(F.col("p_name"), F.col("p_brand")).alias("prefix"))
+
+
+@query("shuffle_seeded", "SELECT o_orderkey, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-7'), o_orderkey) AS rn FROM orders")
+def _(s, sf):
+    o = t(s, sf, "orders").select("o_orderkey", F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit("-7"))).alias("h"))
+    return number_rows(o.withColumn("place", F.struct("h", "o_orderkey")), "place").select("o_orderkey", "rn")
+
+
+@query("reservoir_md5", f"SELECT key, value FROM ({ORDERS_SQL}) ORDER BY md5(CAST(key AS VARCHAR)), key LIMIT 100")
+def _(s, sf):
+    return orders(s, sf).orderBy(F.md5(F.col("key").cast("string")), "key").limit(100)
+
+
 @query("wal_stream_replay", VIEW_SQL)
 def _(s, sf):
-    folder = shared_folder(s)
+    folder = new_folder(s)
     log(s, sf).write.parquet(f"{folder}/in")
     store = KVStore.open(s, f"{folder}/kv")
     store.bulk_load(base(s, sf))

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keystrand.errors import InvalidArgument, NotSupported
+from keystrand.errors import Conflict, InvalidArgument, NotSupported
 from keystrand.sources import files, workloads
 from keystrand.sources.store import KVStore, StoreOptions
 from keystrand.streaming import log_stream
@@ -131,3 +131,48 @@ def test_workloads(spark):
     reads, after = workloads.run_phase(rows, phase, F.col("seq") * 10)
     assert sorted(pairs(reads)) == [(0, 1, 0), (2, 3, 0)]
     assert {k: v for k, v in pairs(after) if v} == {3: 20, 4: 30} and after.count() == 11
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    a = KVStore.open(spark, str(tmp_path / "kv"))
+    a.bulk_load(kv(spark, [(1, "x")]))
+    b = KVStore.open(spark, a.path)
+    a.put(kv(spark, [(100, "a")]))
+    with pytest.raises(Conflict):
+        b.put(kv(spark, [(200, "b")]))
+    assert pairs(KVStore.open(spark, a.path).scan(1, 9)) == [(1, "x"), (100, "a")]
+    b.refresh()
+    b.put(kv(spark, [(200, "b")]))
+    with pytest.raises(Conflict):
+        a.flush()
+    a.refresh()
+    a.flush()
+    a.vacuum()
+    assert pairs(KVStore.open(spark, a.path).scan(1, 9)) == [(1, "x"), (100, "a"), (200, "b")]
+
+
+def test_load_order_is_judged_over_gaps(spark, tmp_path):
+    store = KVStore.open(spark, str(tmp_path / "kv"))
+    rows = lambda keys: spark.createDataFrame([(10 * i, k, "v") for i, k in enumerate(keys)], "pos long, key long, value string")
+    for keys in ((9, 10, 5), (9, 9, 10), (0, 10)):
+        with pytest.raises(InvalidArgument):
+            store.bulk_load(rows(keys), order="pos")
+    store.bulk_load(rows((5, 9, 10)), order="pos")
+    assert store.get(9) == "v"
+
+
+def test_byte_keys_in_byte_order(spark, tmp_path):
+    store = KVStore.open(spark, str(tmp_path / "kv"))
+    rows = lambda at, old: spark.createDataFrame([(f"a{i}", f"{old}{i}") for i in at], "key string, value string")
+    store.bulk_load(rows(range(100, 200), "b"))
+    store.put(rows(range(150, 200, 2), "c"))
+    store.delete(spark.createDataFrame([("a199",), ("zz",)], "key string"))
+    store = KVStore.open(spark, store.path)
+    assert (store.get(b"a150"), store.get(b"a151"), store.get(b"a199"), store.get(b"a1")) == ("c150", "b151", None, None)
+    for i in (0, 45, 95):
+        assert [bytes(r["key"]) for r in store.scan(f"a{100 + i}".encode(), 10).collect()] == [f"a{k}".encode() for k in range(100 + i, min(110 + i, 199))]
+    assert store.scan(b"a2", 5).count() == 0
+    store.put(spark.createDataFrame([(b"", "empty"), (b"\x00\xff", "low"), (b"\xff", "high")], "key binary, value string"))
+    assert [r["value"] for r in store.scan(b"", 2).collect()] == ["empty", "low"] and store.scan(b"\xf0", 9).count() == 1
+    store.flush()
+    assert store.get(b"") == "empty" and store.log().count() == 0

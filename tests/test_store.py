@@ -1,3 +1,5 @@
+import bisect
+import collections
 import hashlib
 import importlib
 import random
@@ -7,6 +9,7 @@ import pytest
 from keystrand.errors import InvalidArgument
 from keystrand.functions.plr import build_segments, fit_runs, page_lower_bounds
 from keystrand.operators import forecast, layout, lookup, merge
+from keystrand.operators.numbering import number_rows
 
 KV = "key long, value string"
 LOG = "seq long, op string, key long, value string"
@@ -122,3 +125,35 @@ def test_islands_and_lookup(spark):
     intervals = spark.createDataFrame([(10, 0), (20, 1), (30, 2)], "lower long, segment_id long")
     keys = spark.createDataFrame([(k,) for k in (5, 10, 19, 20, 99)], "key long")
     assert dict(rows(layout.interval_lookup(keys, intervals, "segment_id"))) == {5: 0, 10: 0, 19: 0, 20: 1, 99: 2}
+
+
+def test_row_numbers_and_lookups_over_many_ranges(spark):
+    rng = random.Random(1)
+    keys = rng.sample(range(1, 10**9), 3000)
+    got = number_rows(spark.createDataFrame([(k,) for k in keys], "key long").repartition(9), "key").collect()
+    assert {r["key"]: r["rn"] for r in got} == {k: i + 1 for i, k in enumerate(sorted(keys))}
+    assert number_rows(spark.createDataFrame([], "key long"), "key").count() == 0
+    starts = sorted(rng.sample(range(1, 10**9), 40))
+    asked = [*keys, *[keys[0]] * 2000]  # one key holds two fifths of all rows
+    found = layout.interval_lookup(spark.createDataFrame([(k,) for k in asked], "key long"), spark.createDataFrame(list(enumerate(starts)), "id long, lower long"), "id")
+    expected = sorted((k, max(0, bisect.bisect_right(starts, k) - 1)) for k in asked)
+    assert sorted(rows(found)) == expected
+
+
+@pytest.mark.parametrize(("threshold", "deferrals"), [(3, 2), (4, 0), (100, 5), (1, 9)])
+def test_deferred_flushes(spark, threshold, deferrals):
+    rng = random.Random(7)
+    writes = [(i, min(rng.randrange(9), rng.randrange(9))) for i in range(295)]
+    ios, pending, passed = collections.Counter(), collections.Counter(), collections.Counter()
+    pages = {p for _, p in writes}
+    for i, p in writes:
+        pending[p] += 1
+        if (i + 1) % 10 == 0:
+            for q in pages:
+                if pending[q] and (pending[q] >= threshold or passed[q] >= deferrals):
+                    ios[q] += 1
+                    pending[q] = passed[q] = 0
+                else:
+                    passed[q] += 1
+    got = forecast.deferral_carry_over(spark.createDataFrame(writes, "seq long, page long"), 10, threshold, deferrals)
+    assert {r["page"]: (r["ios"], r["pending"]) for r in got.collect()} == {p: (ios[p], pending[p]) for p in pages}
