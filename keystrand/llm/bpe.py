@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 #: Fixed value: the splitting pattern of byte-level BPE vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids are remembered per Python worker; the table is emptied when full.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 
 
 def byte_symbols() -> list[str]:

@@ -49,6 +49,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def sliced(batches, rows: int = 512):
+    """Batches of at most ``rows`` rows, so that what a map builds for a batch stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _local_forest(batches):
     """Union-find over one partition's links; emits (node, smallest node of its local tree)."""
     parent: dict[int, int] = {}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import sliced, text_or_empty
 
 GRAMS = 1024
 DENSE = 28
@@ -142,7 +142,7 @@ def held_out(id_: Column) -> Column:
 
 
 def _feature_rows(batches):
-    for b in batches:
+    for b in sliced(batches):
         x = [features(t.as_py() or "").tobytes() for t in b.column(2)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["id", "kind", "x"])
 
@@ -194,8 +194,8 @@ def score_quality(docs: DataFrame, model: PuModel | None, *, id_col: str = "doc_
     schema = StructType([*fields, StructField("score", DoubleType())])
 
     def run(batches):
-        for b in batches:
-            x = np.stack([features(t.as_py() or "") for t in b.column(0)]) if b.num_rows else np.zeros((0, GRAMS + DENSE))
+        for b in sliced(batches):
+            x = np.stack([features(t.as_py() or "") for t in b.column(0)])
             s = model.score(x) if model is not None else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], names=schema.names)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import shuffle_width, sliced
 from .shingles import PIECE, mix
 
 #: Bytes of the anchors that bring equal strings together.
@@ -273,7 +273,7 @@ def _index_shard(length: int):
 
 
 def _cut_spans(batches, length: int):
-    for b in batches:
+    for b in sliced(batches):
         rows: list[tuple] = []
         for id_, doc, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
             text = text.as_py()
@@ -356,7 +356,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows = texts.join(marks, ["id", "doc"], "left").select("text", "spans", "id")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             n, gone, count, sha, left, spans_out = [], [], [], [], [], []
             for text, spans in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 text = text.as_py()

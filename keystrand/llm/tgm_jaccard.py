@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, shuffle_width
+from .common import checkpointed, components, shuffle_width, sliced
 from .shingles import set_digest, shingle_set
 
 #: Cells of the frequency sketch that orders tokens; one byte each, at every size of the corpus.
@@ -15,7 +15,7 @@ CELLS = 1 << 23
 #: Cells of the sketch that reach the driver as one row of bytes.
 STRIPE = 1 << 15
 #: Tokens that a map task packs at a time, and that it counts at a time.
-CHUNK_TOKENS, COUNT_TOKENS = 1_500_000, 4_000_000
+CHUNK_TOKENS, COUNT_TOKENS = 1_500_000, 2_000_000
 #: A set of ids up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_IDS = 200_000
 #: Tokens of one block of an opened group, and of the classes that it is opened for.
@@ -43,10 +43,12 @@ def _narrow_pass(batches):
     size = 0
 
     def frequent():
-        tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        many = n >= 2
-        t, at = np.unique(_cell(tokens[many]), return_inverse=True)
-        c = np.bincount(at, weights=n[many], minlength=len(t))
+        tokens = np.concatenate(held)
+        held.clear()
+        tokens.sort()
+        same = np.concatenate([[False], tokens[1:] == tokens[:-1], [False]])
+        tokens = tokens[same[1:] | same[:-1]]  # those that another document of the chunk holds too
+        t, c = np.unique(_cell(tokens), return_counts=True)
         none = pa.nulls(len(t), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(t), pa.binary()), none, pa.array(t), pa.array(c.astype(np.int64))], names=["id", "n", "sig", "cls", "cell", "cnt"])
 
@@ -133,10 +135,17 @@ def _shared_runs(table: pa.Table) -> pa.Table:
     The pivot is the class of the run, in the same band of set sizes, with the smallest share of
     tokens that the sketch does not know, which is likely in the middle of a group.
     """
-    token = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()])
-    owner = np.concatenate([np.frombuffer(x, _OWNER) for x in table.column("owners").to_pylist()])
-    cls, n, alone = (np.repeat(owner[c].astype(np.int64), owner["held"]) for c in ("cls", "n", "alone"))
-    del owner
+    token = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")])
+    owner = np.concatenate([np.frombuffer(x.as_buffer(), _OWNER) for x in table.column("owners")])
+    own = np.repeat(np.arange(len(owner), dtype=np.int32), owner["held"])
+    # most tokens occur once: drop them before anything else is looked up
+    order = np.argsort(token, kind="stable")
+    token = token[order]
+    same = np.concatenate([[False], token[1:] == token[:-1], [False]])
+    twice = same[1:] | same[:-1]
+    token, own = token[twice], own[order[twice]]
+    del order, same, twice
+    cls, n, alone = (owner[c][own].astype(np.int64) for c in ("cls", "n", "alone"))
     order = np.lexsort((cls, token))
     token, cls, n, alone = token[order], cls[order], n[order], alone[order]
     first = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]) if len(token) else np.zeros(0, bool)
@@ -154,7 +163,7 @@ def _shared_runs(table: pa.Table) -> pa.Table:
 
 
 def _with_set(batches):
-    for b in batches:
+    for b in sliced(batches):
         sets = [shingle_set(t.as_py()) for t in b.column(0)]
         cls = [_class_of(set_digest(x)) if len(x) else None for x in sets]
         yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cls", "tokens"])
