@@ -76,7 +76,10 @@ class TopK:
         self.largest = np.abs(q).max(initial=0)
 
     def offer(self, qi: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
-        exact = self.largest * np.abs(x).max(initial=0) * max(1, x.shape[1]) < 2.0**53
+        most = self.largest * np.abs(x).max(initial=0) * max(1, x.shape[1])
+        if most >= 2.0**62:
+            raise OverflowError("scores of these vectors can exceed 62 bits")
+        exact = most < 2.0**53
         s = (self.q[qi] @ x.T).astype(np.int64) if exact else self.q[qi].astype(np.int64) @ x.T.astype(np.int64)
         s[self.qid[qi][:, None] == ids[None, :]] = FREE
         better = s.max(1) >= self.worst[qi]
@@ -130,7 +133,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     Null vectors, vectors that hold null or non-finite components, and rows of null id take no part;
     vectors of different lengths are not compared; rows that agree in id and vector count once, rows
     of the query's own id never count.  Fewer than ``k`` candidates give fewer rows; empty tables
-    give an empty result; scores must fit 62 bits; other columns are not read.
+    give an empty result; scores that may exceed 62 bits raise an error; other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))

@@ -363,3 +363,24 @@ def test_prior_from_positives_and_unlabelled():
         n = int(4000 * prior)
         found = estimate_prior(draw(2000, 1.5), np.concatenate([draw(n, 1.5), draw(4000 - n, -1.5)]))
         assert abs(found - prior) < 0.06
+
+
+def test_main_text_keeps_what_only_sounds_like_furniture(spark):
+    inside = '<h1 class="post-header">Head</h1><div class="article-header"><h2>Sub</h2></div><div class="social-history"><p>Past</p></div><p>x <math><mi>y</mi></math></p>'
+    gone = '<div class="share-buttons">Share</div><div class="ad">Ad</div><ul class="related links"><li>More</li></ul>'
+    pages = [(1, "http://a/1", f"<body><nav>n</nav><article>{inside}{gone}</article></body>"), (1, "http://a/1", "<p>" + "long " * 200_000)]
+    got = [r["text"] for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
+    assert sorted(got, key=len)[0] == "Head\nSub\nPast\nx y" and len(max(got, key=len)) == 5 * 200_000 - 1
+    assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_top_k_ties_repeats_and_range(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(60)] + [(7, [1.0, 1.0]), (3, None)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    ints = {i: (64 * (i % 3), 64) for i in range(60)}
+    for q in (0, 20, 40):
+        order = sorted((-(ints[q][0] * v[0] + ints[q][1] * v[1]), i) for i, v in ints.items() if i != q)[:20]
+        assert [(r["vec_id"], -r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [(i, s) for s, i in order]
+    assert top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+    with pytest.raises(Exception, match="62 bits"):
+        top_k(spark.createDataFrame([(0, [1e300, 1.0]), (60, [1e300, 2.0])], "vec_id long, embedding array<double>")).collect()
