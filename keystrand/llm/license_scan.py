@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +46,9 @@ NOTICES = [
     ("if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mpl"),
 ]
 
+#: The posting lists of the notices are broadcast up to this many bytes; beyond it they are joined by a shuffle.
+POSTING_BYTES = 32 << 20
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -57,41 +61,73 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def _words_held(words: list[str], prefix: list[str], need: int):
-    """Distinct words of a notice that a block holds, or 0 where a filter rules ``need`` of them out."""
-    all_words, prefix_words = F.array(*map(F.lit, words)), F.array(*map(F.lit, prefix))
+def _words_of(text: Column) -> Column:
+    return F.split(padded_words(text), " ")
+
 
-    def held(block: Column) -> Column:
-        tokens = F.split(padded_words(block), " ")
-        first = F.get(F.array_intersect(prefix_words, tokens), F.lit(0))
-        place = F.array_position(all_words, first)
-        ok = (F.size(tokens) >= need) & place.isNotNull() & (F.lit(len(words)) - place + 1 >= need)
-        return F.when(ok, F.size(F.array_intersect(all_words, tokens))).otherwise(0)
+def _distinct_of(tokens: Column, words: list[str]) -> Column:
+    """The distinct tokens that are among ``words``; a hash look-up per token, however long the list."""
+    return F.filter(F.array_distinct(tokens), lambda w: w.isin(words))
 
-    return held
 
+def token_order(docs: DataFrame, words: list[str], text_col: str = "text") -> dict[str, int]:
+    """Number of documents that hold each of ``words``, over all documents; one entry per word."""
+    held = _distinct_of(_words_of(text_or_empty(F.col(text_col))), words)
+    rows = docs.select(F.explode(held).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+    return dict.fromkeys(words, 0) | {r["w"]: r["n"] for r in rows}
 
-def _most_in_a_window(words: list[str], width: int, norm: Column) -> Column:
-    """Most distinct words of a notice that ``width`` consecutive words of a text hold, across line breaks."""
-    all_words = F.array(*map(F.lit, words))
 
-    def over(tokens: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - width + 1, F.lit(1)))
-        return F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(all_words, F.slice(tokens, i, width)))))
+def posting_lists(notices: list[tuple[str, str]], order: dict[str, int], threshold: float) -> list[dict]:
+    """One entry per prefix word of a notice: ``token, words, prefix, need, width, label``.
+
+    ``words`` are the notice's distinct words, rarest first.  Of two sets that share ``need`` words,
+    each holds one of the first ``n - need + 1`` words of the notice, the prefix.
+    """
+    out = []
+    for text, label in notices:
+        words = sorted(set(text.split()), key=lambda w: (order[w], w))
+        need = max(1, math.ceil(threshold * len(words) - 1e-9))
+        entry = {"words": words, "prefix": words[: len(words) - need + 1], "need": need, "width": math.ceil(len(text.split()) / threshold - 1e-9), "label": label}
+        out += [{"token": w, **entry} for w in entry["prefix"]]
+    return out
 
-    # the array of one array binds the words to a variable, so that the text is split once
-    return F.get(F.transform(F.array(F.split(norm, " ")), over), F.lit(0))
 
+def _joined(labels: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
-def token_order(docs: DataFrame, notices: list[tuple[str, str]], text_col: str = "text") -> dict[str, int]:
-    """Number of documents that hold each word of the notices, over all documents.
 
-    The result has at most one entry per distinct word of the notices, whatever the input.
+def notice_matches(docs: DataFrame, notices: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """Set-similarity join of the blocks of ``docs`` (``id, raw, digest``) with ``notices``: ``id, digest, share, named``.
+
+    A document meets the posting lists by its words of any prefix.  It meets a notice once for each
+    prefix word that they share; only the first of them in the notice's order is kept, so pairs are
+    distinct without a shuffle, and all of the notice's words before it are known to be missing.
     """
-    words = sorted({w for text, _ in notices for w in text.split()})
-    held = F.array_intersect(F.split(padded_words(text_or_empty(F.col(text_col))), " "), F.array(*map(F.lit, words)))
-    rows = docs.select(F.explode(held).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
-    return dict.fromkeys(words, 0) | {r["w"]: r["n"] for r in rows}
+    vocabulary = sorted({w for text, _ in notices for w in text.split()})
+    lists = posting_lists(notices, token_order(docs, vocabulary, "raw"), threshold)
+    packed = json.dumps(lists)
+    schema = "array<struct<token:string,words:array<string>,prefix:array<string>,need:int,width:int,label:string>>"
+    index = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(packed), schema)))
+    if len(packed) <= POSTING_BYTES:
+        index = F.broadcast(index)
+    held = docs.withColumn("held", _distinct_of(_words_of(F.col("raw")), vocabulary))
+    rare = held.withColumn("rare", F.filter("held", lambda w: w.isin(sorted({x["token"] for x in lists}))))
+    met = rare.select("*", F.explode("rare").alias("token")).join(index, "token")
+    pairs = met.where(F.col("token") == F.get(F.array_intersect("prefix", "rare"), F.lit(0)))
+    # length and positional filter: words of the notice from the first shared one on, in the whole text
+    pairs = pairs.where(F.size("words") - F.array_position("words", F.col("token")) + 1 >= F.col("need"))
+    pairs = pairs.where(F.size(F.array_intersect("words", "held")) >= F.col("need"))
+    places = F.transform(_words_of(F.col("raw")), lambda w, i: F.struct(i.alias("at"), w.alias("w")))
+    pairs = pairs.withColumn("hits", F.filter(places, lambda x: x["w"].isin(vocabulary) & F.array_contains("words", x["w"])))
+
+    def in_window(hit: Column, k: Column) -> Column:
+        near = F.filter(F.slice("hits", k + 1, F.col("width")), lambda x: x["at"] < hit["at"] + F.col("width"))
+        return F.size(F.array_distinct(F.transform(near, lambda x: x["w"])))
+
+    in_line = F.array_max(F.transform(F.split("raw", "\n"), lambda line: F.size(F.array_intersect("words", _words_of(line)))))
+    pairs = pairs.withColumn("most", F.greatest(in_line, F.array_max(F.transform("hits", in_window))))
+    shares = pairs.where(F.col("most") >= F.col("need")).select("id", "digest", "label", (F.col("most").cast("double") / F.size("words")).alias("share"))
+    return shares.groupBy("id", "digest").agg(F.max("share").alias("share"), F.collect_set("label").alias("named"))
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, notices=NOTICES, threshold: float = 0.8) -> DataFrame:
@@ -102,22 +138,22 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     at least ``threshold`` of a notice's distinct words.  Blocks are the lines, and all windows of as
     many consecutive words as the notice has, over ``threshold``; windows run across line breaks, so a
     wrapped notice is found, with words put in or left out up to the threshold.  Words are ordered by
-    their document frequency over the whole corpus, rarest first.  A match holds one of the notice's
-    first ``n - need + 1`` words (prefix filter), its document and a line have at least ``need`` words
-    (length filter), and the first of these words that a line holds leaves at least ``need`` words from
-    there on (positional filter); what is left is counted exactly.
+    their document frequency over the whole corpus, rarest first.  Documents join the posting lists of
+    the notices' prefix words; length and positional filters leave few pairs, whose lines and windows
+    (of the places that hold a word of the notice) are counted exactly.
 
-    All is evaluated in the row that holds the text, so nothing but the word counts is shuffled and
-    no key can be hot.  The notices are a short, fixed list of parameters.
+    Texts are not shuffled: the posting lists are broadcast behind a check of their size, and the
+    matches, one row per document that has any, come back to the documents' counts by id and digest of
+    the text.  Their rows are spread by document, so a frequent notice or source is no hot key.
 
     Result per document: ``id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
     ``score`` is 1 with a base label, else the largest containment of a matching block, else 0.
     Null and empty texts have no words; empty tables give an empty result; repeated rows are kept;
-    ids may be null; other columns are not read.
+    ids may be null; no phrases or notices give no labels; other columns are not read.
     """
-    order = token_order(docs, notices, text_col)
     text = text_or_empty(F.col(text_col))
-    rows = docs.select(F.col(id_col), text.alias("raw"), padded_words(text).alias("norm"))
+    given = docs.select(F.col(id_col).alias("id"), text.alias("raw"), F.md5(text.cast("binary")).alias("digest"))
+    rows = given.select("id", "digest", padded_words(F.col("raw")).alias("norm"))
     rows = rows.withColumn("n_words", F.greatest(_spaces(F.col("norm")) - 1, F.lit(0)).cast("long"))
 
     counts, firsts, lasts, base = [], [], [], []
@@ -130,37 +166,25 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         after = F.length("norm") - F.instr(F.reverse("norm"), hit[::-1]) - len(hit) + 1
         lasts.append(F.when(here, _spaces(F.substring(F.col("norm"), F.lit(1), after))))
         base.append(F.when(here, F.lit(label)))
-    found = [F.lit(None).cast("double")]
-    named: list[Column] = []
-    plans = []
-    for text_of, label in notices:
-        words = sorted(set(text_of.split()), key=lambda w: (order[w], w))
-        need = max(1, math.ceil(threshold * len(words) - 1e-9))
-        width = math.ceil(len(text_of.split()) / threshold - 1e-9)
-        plans.append((words, need, words[: len(words) - need + 1], width, label))
-    # words of any notice in the document, and those of them that a prefix holds
-    rows = rows.withColumn("known", F.array_intersect(F.split(F.col("norm"), " "), F.array(*map(F.lit, sorted(order)))))
-    rows = rows.withColumn("rare", F.array_intersect("known", F.array(*map(F.lit, sorted({w for p in plans for w in p[2]})))))
-    for words, need, prefix, width, label in plans:
-        maybe = F.arrays_overlap("rare", F.array(*map(F.lit, prefix))) & (F.size(F.array_intersect("known", F.array(*map(F.lit, words)))) >= need)
-        in_line = F.array_max(F.transform(F.split(F.col("raw"), "\n"), _words_held(words, prefix, need)))
-        most = F.when(maybe, F.greatest(in_line, _most_in_a_window(words, width, F.col("norm"))))
-        hit_share = F.when(most >= need, most / F.lit(float(len(words))))
-        rows = rows.withColumn(f"share{len(named)}", hit_share)
-        found.append(F.col(f"share{len(named)}"))
-        named.append(F.when(F.col(f"share{len(named)}").isNotNull(), F.lit(label)))
-
-    def joined(labels: list[Column]) -> Column:
-        return F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*labels), lambda x: x.isNotNull()))), ",")
-
-    n_base = sum(counts, F.lit(0)).cast("long")
-    return rows.select(
-        F.col(id_col),
+    nothing = F.array().cast("array<string>")
+    base_rows = rows.select(
+        "id",
+        "digest",
+        "n_words",
+        sum(counts, F.lit(0)).cast("long").alias("n_base"),
+        F.array_min(F.array(F.lit(None).cast("int"), *firsts)).cast("long").alias("first_word"),
+        F.array_max(F.array(F.lit(None).cast("int"), *lasts)).cast("long").alias("last_word"),
+        F.filter(F.concat(nothing, F.array(*base)), lambda x: x.isNotNull()).alias("base"),
+    )
+    found = notice_matches(given, notices, threshold).withColumnsRenamed({"id": "found_id", "digest": "found_digest"})
+    done = base_rows.join(found, base_rows["id"].eqNullSafe(F.col("found_id")) & (F.col("digest") == F.col("found_digest")), "left")
+    return done.select(
+        F.col("id").alias(id_col),
         "n_words",
-        n_base.alias("n_base"),
-        F.array_min(F.array(*firsts)).cast("long").alias("first_word"),
-        F.array_max(F.array(*lasts)).cast("long").alias("last_word"),
-        joined(base).alias("base_labels"),
-        joined([*base, *named]).alias("labels"),
-        F.when(n_base > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.array(*found)), F.lit(0.0))).alias("score"),
+        "n_base",
+        "first_word",
+        "last_word",
+        _joined(F.col("base")).alias("base_labels"),
+        _joined(F.concat("base", F.coalesce("named", nothing))).alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
