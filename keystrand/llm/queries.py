@@ -9,7 +9,7 @@ from .bpe import encode_decode
 from .common import table
 from .covertree_topk import top_k
 from .itq_dedup import embedding_dedup
-from .license_scan import scan_licenses
+from .license_scan import NOTICES, PHRASES, scan_licenses
 from .pareto_mix import mix_sources
 from .quality_pu import score_quality, train_quality
 from .rindex_dedup import dedup_substrings
@@ -82,7 +82,51 @@ QUERIES = {
     "op10_tgm_jaccard": op10_tgm_jaccard,
 }
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+_PHRASES_SQL = ", ".join(f"({p.split()}, '{label}')" for p, label in PHRASES)
+_AHEAD_SQL = "".join(f", lead(word, {k}) OVER (PARTITION BY rid ORDER BY pos)" for k in range(1, max(len(p.split()) for p, _ in PHRASES)))
+_NOTICES_SQL = ", ".join(f"({i}, {n.split()}, '{label}')" for i, (n, label) in enumerate(NOTICES))
+_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS_SQL = rf"regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLES: dict[str, str] = {
+    "op8_license_scan": f"""
+WITH docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {_WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents
+),
+phrases(p, label) AS (VALUES {_PHRASES_SQL}),
+notices AS (
+    SELECT n, label, list_distinct(words) AS words, len(list_distinct(words)) AS size,
+        CAST(ceil(0.8 * len(list_distinct(words)) - 1e-9) AS BIGINT) AS need, CAST(ceil(len(words) / 0.8 - 1e-9) AS BIGINT) AS width
+    FROM (VALUES {_NOTICES_SQL}) v(n, words, label)
+),
+tokens AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs),
+ahead AS (SELECT rid, word, pos - 1 AS pos, [word{_AHEAD_SQL}] AS following FROM tokens),
+places AS (SELECT rid, label, pos FROM ahead JOIN phrases ON word = p[1] AND following[1:len(p)] = p),
+base AS (
+    SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY rid
+),
+notice_words AS (SELECT n, unnest(words) AS word FROM notices),
+hits AS MATERIALIZED (SELECT rid, n, word, pos FROM tokens JOIN notice_words USING (word)),
+maybe AS MATERIALIZED (
+    SELECT rid, n FROM hits JOIN notices USING (n) GROUP BY rid, n HAVING count(DISTINCT word) >= min(need)
+),
+kept AS MATERIALIZED (SELECT rid, n, word, pos, width FROM hits SEMI JOIN maybe USING (rid, n) JOIN notices USING (n)),
+windows AS (
+    SELECT a.rid, a.n, count(DISTINCT b.word) AS held FROM kept a JOIN kept b ON a.rid = b.rid AND a.n = b.n AND b.pos >= a.pos AND b.pos < a.pos + a.width
+    GROUP BY a.rid, a.n, a.pos
+),
+lines AS (SELECT rid, n, words, unnest(string_split(t, chr(10))) AS line FROM maybe JOIN docs USING (rid) JOIN notices USING (n)),
+blocks AS (
+    SELECT rid, n, held FROM windows
+    UNION ALL SELECT rid, n, len(list_intersect(words, {_WORDS_SQL.format("line")})) FROM lines
+),
+named AS (
+    SELECT rid, list(DISTINCT label) AS labels, max(held / CAST(size AS DOUBLE)) AS share FROM blocks JOIN notices USING (n) WHERE held >= need GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+    coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
+    CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM docs LEFT JOIN base b USING (rid) LEFT JOIN named m USING (rid)""",
     "op6_url_rules": rf"""
 WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (

@@ -7,6 +7,7 @@ import re
 import pytest
 
 from keystrand.llm.license_scan import NOTICES, PHRASES, posting_lists, scan_licenses
+from keystrand.llm.queries import ORACLES
 
 SCHEMA = "doc_id long, text string, token string, held int"
 
@@ -75,3 +76,11 @@ def test_license_scan_of_many_notices(spark):
     got = {r["doc_id"]: r["labels"] for r in scan_licenses(spark.createDataFrame([(*r, "", 1) for r in rows], SCHEMA), notices=notices).collect()}
     assert got == {id_: brute(text, notices)[5] for id_, text in rows}
     assert len(posting_lists(notices, dict.fromkeys({w for t, _ in notices for w in t.split()}, 0), 0.8)) < 12 * 1500
+
+
+def test_license_scan_sql_is_brute_force():
+    duckdb, pd = pytest.importorskip("duckdb"), pytest.importorskip("pandas")
+    rows = [*fragments(4), (500, None), (501, "")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert sorted(con.execute(ORACLES["op8_license_scan"]).fetchall()) == sorted((id_, *brute(text)) for id_, text in rows)
