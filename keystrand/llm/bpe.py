@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 import sys
 
@@ -14,8 +15,12 @@ from pyspark.sql import DataFrame
 
 #: Fixed value: the splitting pattern of byte-level BPE vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose ids are remembered per Python worker; the table is emptied when full.
+#: The same pattern for texts of ASCII alone, in classes that the standard library's faster engine has.
+SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
+#: Pieces whose ids are remembered per Python worker, half of them since the last time that the younger half was full.
 CACHE_PIECES = 100_000
+#: Pieces of more bytes are merged with a queue, shorter ones by a search for the lowest rank.
+SCAN_BYTES = 32
 
 
 def byte_symbols() -> list[str]:
@@ -40,22 +45,37 @@ class Bpe:
         self.strings = {i: bytes(back[ch] for ch in s) for s, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings |= {i: s.encode() for s, i in self.added.items()}
+        self.by_id = [self.strings.get(i, b"") for i in range(max(self.strings) + 1)]
         longest_first = sorted(self.added, key=len, reverse=True)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
-        self.split = regex.compile(SPLIT)
+        self.split, self.split_ascii = regex.compile(SPLIT), re.compile(SPLIT_ASCII)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one piece.
 
         Symbols form a doubly linked list; a priority queue holds mergeable neighbours by rank, then
-        place.  An entry is stale, and skipped, once either of its symbols has changed.
+        place.  An entry is stale, and skipped, once either of its symbols has changed.  In a short
+        piece the lowest rank, leftmost first, is searched for instead, which merges in the same order.
         """
         ids = [self.byte_id[b] for b in data]
         n = len(ids)
         if n < 2:
             return ids
         merges = self.merges
+        if n <= SCAN_BYTES:
+            rank, none = merges.get, 1 << 64
+            ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
+            while ranks and (m := min(ranks)) != none:
+                i = ranks.index(m)
+                ids[i] = m & 0xFFFFFFFF
+                del ids[i + 1], ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank((ids[i], ids[i + 1]), none)
+                if i:
+                    ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(queue)
@@ -75,11 +95,13 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.merge(piece.encode())
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.older.get(piece)
+        if out is None:
+            ids = self.merge(piece.encode())
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
-            if len(self.cache) >= CACHE_PIECES:
-                self.cache.clear()
+            if len(self.cache) >= CACHE_PIECES // 2:
+                self.older, self.cache = self.cache, {}
             self.cache[piece] = out
         return out
 
@@ -87,18 +109,22 @@ class Bpe:
         """Ids as little-endian unsigned 32-bit integers."""
         parts = self.split_added.split(text) if self.split_added else [text]
         out: list[bytes] = []
-        known, piece = self.cache.get, self._piece
+        piece = self._piece
+        split = self.split_ascii if text.isascii() else self.split
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(struct.pack("<I", self.added[part]))
             elif part:
-                out += [known(x) or piece(x) for x in self.split.findall(part)]
+                out += [self.cache.get(x) or piece(x) for x in split.findall(part)]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """Concatenates the vocabulary strings of the ids; ids out of the vocabulary give nothing."""
-        none = b""
-        return b"".join([self.strings.get(i, none) for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
+        codes, table = memoryview(ids).cast("I"), self.by_id
+        try:
+            return b"".join([table[i] for i in codes]).decode("utf-8", "replace")
+        except IndexError:
+            return b"".join([self.strings.get(i, b"") for i in codes]).decode("utf-8", "replace")
 
 
 def worker_bpe(path: str) -> Bpe:
