@@ -63,6 +63,46 @@ class GreedyFit:
         return Line(slope, fma(-slope, self.apex[0], self.apex[1]))
 
 
+class Hull:
+    """One side of the convex hull of points that come by ``x``, from the last support of a tangent on.
+
+    ``sign`` 1 keeps the lower side, -1 the upper one.  A narrower tangent never rests on a point before
+    the last support, so those are left behind, and all searches together pass each point once.
+    """
+
+    __slots__ = ("sign", "points", "start")
+
+    def __init__(self, sign: int, first: tuple[float, float]):
+        self.sign, self.points, self.start = sign, [first], 0
+
+    def push(self, p: tuple[float, float]) -> None:
+        points, least, (px, py) = self.points, self.start + 1, p
+        while len(points) > least:
+            (ax, ay), (bx, by) = points[-2], points[-1]
+            if self.sign * ((bx - ax) * (py - ay) - (by - ay) * (px - ax)) > 0:
+                break
+            points.pop()
+        points.append(p)
+
+    def tangent(self, p: tuple[float, float]) -> tuple[tuple[float, float], float]:
+        """The point that the line to ``p`` rests on, and that line's slope: the least from an upper side, the greatest from a lower one."""
+        points, sign, (px, py) = self.points, self.sign, p
+        best, at = None, self.start
+        for i in range(self.start, len(points)):
+            x, y = points[i]
+            slope = (py - y) / (px - x)
+            # along the hull slopes change for the better, then for the worse
+            if best is None or sign * slope > sign * best:
+                best, at = slope, i
+            elif slope != best:
+                break
+        found, self.start = points[at], at
+        if at > 1024 and 2 * at > len(points):
+            del points[:at]
+            self.start = 0
+        return found, best
+
+
 class OptimalFit:
     """Longest feasible segments (O'Rourke's on-line algorithm on two convex hulls).
 
@@ -72,50 +112,35 @@ class OptimalFit:
 
     def __init__(self, delta: float):
         self.delta = delta
-        self.tops: list[tuple[float, float]] = []
-        self.bottoms: list[tuple[float, float]] = []
+        self.tops: Hull | None = None  # lower hull of the tops
+        self.bottoms: Hull | None = None  # upper hull of the bottoms
         self.flat = self.steep = None  # (point, slope)
-        self.count = 0
-
-    @staticmethod
-    def _push(hull: list, p: tuple[float, float], sign: int) -> None:
-        while len(hull) > 1:
-            (ax, ay), (bx, by) = hull[-2], hull[-1]
-            if sign * ((bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)) > 0:
-                break
-            hull.pop()
-        hull.append(p)
 
     def offer(self, x: float, y: float) -> bool:
         top, bottom = (x, y + self.delta), (x, y - self.delta)
-        if self.count == 0:
-            self.tops, self.bottoms, self.count = [top], [bottom], 1
+        if self.tops is None:
+            self.tops, self.bottoms = Hull(1, top), Hull(-1, bottom)
             return True
-        if self.flat is not None:
+        if self.flat is None:
+            self.steep, self.flat = self.bottoms.tangent(top), self.tops.tangent(bottom)
+        else:
             (px, py), s = self.flat
             (qx, qy), t = self.steep
-            if fma(s, x - px, py) > top[1] or fma(t, x - qx, qy) < bottom[1]:
+            low, high = fma(s, x - px, py), fma(t, x - qx, qy)
+            if low > top[1] or high < bottom[1]:
                 return False
-        slope = lambda a, b: (b[1] - a[1]) / (b[0] - a[0])
-        # steepest line: from an earlier bottom up to a top; flattest: from an earlier top down to a bottom
-        if self.flat is None or fma(self.steep[1], x - self.steep[0][0], self.steep[0][1]) > top[1]:
-            p = min(self.bottoms, key=lambda a: slope(a, top))
-            s = slope(p, top)
-            if self.steep is None or s < self.steep[1]:
-                self.steep = (p, s)
-        if self.flat is None or fma(self.flat[1], x - self.flat[0][0], self.flat[0][1]) < bottom[1]:
-            p = max(self.tops, key=lambda a: slope(a, bottom))
-            s = slope(p, bottom)
-            if self.flat is None or s > self.flat[1]:
-                self.flat = (p, s)
-        self._push(self.tops, top, 1)  # lower hull of the tops
-        self._push(self.bottoms, bottom, -1)  # upper hull of the bottoms
-        self.count += 1
+            # steepest line: from an earlier bottom up to a top; flattest: from an earlier top down to a bottom
+            if high > top[1] and (found := self.bottoms.tangent(top))[1] < t:
+                self.steep = found
+            if low < bottom[1] and (found := self.tops.tangent(bottom))[1] > s:
+                self.flat = found
+        self.tops.push(top)
+        self.bottoms.push(bottom)
         return True
 
     def line(self) -> Line:
         if self.flat is None:
-            return Line(0.0, self.tops[0][1] - self.delta if self.tops else 0.0)
+            return Line(0.0, self.tops.points[0][1] - self.delta if self.tops else 0.0)
         (px, py), s = self.flat
         (qx, qy), t = self.steep
         if t - s > 1e-18:
