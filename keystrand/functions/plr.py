@@ -5,13 +5,21 @@ Plain Python on one sorted run of keys; Spark calls it per key range.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import batched
 from math import fma
 
+import numpy as np
+
 #: Pages that a segment may have, and the widest key span that a double holds exactly.
 SEGMENT_PAGES = (1, 2, 4, 8, 16)
 MAX_SPAN = 2**53
+#: Points of a run read at once, and bytes of a run that stay in memory before the rest goes to a local file.
+READ_POINTS = 1 << 16
+HELD_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -130,12 +138,21 @@ class OptimalFit:
             if low > top[1] or high < bottom[1]:
                 return False
             # steepest line: from an earlier bottom up to a top; flattest: from an earlier top down to a bottom
-            if high > top[1] and (found := self.bottoms.tangent(top))[1] < t:
-                self.steep = found
-            if low < bottom[1] and (found := self.tops.tangent(bottom))[1] > s:
-                self.flat = found
-        self.tops.push(top)
-        self.bottoms.push(bottom)
+            # a point that narrows nothing holds no later line
+            if high > top[1]:
+                if (found := self.bottoms.tangent(top))[1] < t:
+                    self.steep = found
+            else:
+                top = None
+            if low < bottom[1]:
+                if (found := self.tops.tangent(bottom))[1] > s:
+                    self.flat = found
+            else:
+                bottom = None
+        if top:
+            self.tops.push(top)
+        if bottom:
+            self.bottoms.push(bottom)
         return True
 
     def line(self) -> Line:
@@ -156,34 +173,89 @@ FITS = {"greedy": GreedyFit, "optimal": OptimalFit}
 
 @dataclass
 class FitRun:
-    """A maximal run of points and its line."""
+    """A maximal run of points from ``base``, its first ``x``, and its line."""
 
     start: int
     count: int
     line: Line
     worst: float = 0.0
+    base: float = 0
 
 
-def fit_runs(points: Iterable[tuple[float, float]], delta: float, method: str = "greedy") -> Iterator[FitRun]:
-    """Cuts sorted points into runs that one line holds within ``delta``; x counts from the run's first point."""
-    fit, held, start, base = FITS[method](delta), [], 0, None
+class _HeldRun:
+    """The points of one run, as doubles; a long run goes to a local file."""
+
+    def __init__(self):
+        local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        self.file = tempfile.SpooledTemporaryFile(HELD_BYTES, dir=local if os.path.isdir(local) else None)
+        self.count = 0
+
+    def add(self, xs: list[float], ys: list[float]) -> None:
+        self.file.write(np.column_stack([xs, ys]).tobytes())
+        self.count += len(xs)
+
+    def worst(self, line: Line) -> float:
+        """The greatest distance of a point from the line.
+
+        Plain products find the points that come near it, within what rounding can do; they are
+        compared by the line's own fused value.
+        """
+        found = 0.0
+        self.file.seek(0)
+        while data := self.file.read(16 * READ_POINTS):
+            xs, ys = np.frombuffer(data).reshape(-1, 2).T
+            product = line.slope * xs
+            off = np.abs(product + line.intercept - ys)
+            slack = 2.0**-48 * (np.abs(product).max() + abs(line.intercept) + np.abs(ys).max())
+            near = ~(off < off.max() - slack)
+            found = max(found, max(abs(line(x) - y) for x, y in zip(xs[near].tolist(), ys[near].tolist(), strict=True)))
+        return found
+
+    def clear(self) -> None:
+        self.file.seek(0)
+        self.file.truncate()
+        self.count = 0
+
+
+def fit_blocks(blocks: Iterable[tuple[list, list[float]]], delta: float, method: str = "greedy") -> Iterator[FitRun]:
+    """Cuts sorted points, which come as blocks of ``x`` and ``y``, into runs that one line holds within ``delta``.
+
+    ``x`` counts from the run's first point.  Memory holds a block and the state of the fit; the points of the
+    open run are kept for its worst error, in a local file where they are many.
+    """
+    fit, start, base, held = None, 0, None, _HeldRun()
 
     def close() -> FitRun:
         line = fit.line()
-        return FitRun(start, len(held), line, max(abs(line(x) - y) for x, y in held))
-
-    for x, y in points:
-        base = x if base is None else base
-        if held and not fit.offer(float(x - base), y):
-            yield close()
-            start, held, base, fit = start + len(held), [], x, FITS[method](delta)
-        if not held:
-            fit.offer(0.0, y)
-        held.append((float(x - base), y))
-    if held:
+        return FitRun(start, held.count, line, held.worst(line), base)
+
+    for xs, ys in blocks:
+        at, n = 0, len(xs)
+        while at < n:
+            if fit is None:
+                fit, base = FITS[method](delta), xs[at]
+            first, offsets, offer = at, [], fit.offer
+            for at in range(first, n):
+                x = float(xs[at] - base)
+                if not offer(x, ys[at]):
+                    break
+                offsets.append(x)
+            else:
+                at = n
+            held.add(offsets, ys[first:at])
+            if at < n:
+                yield close()
+                start, fit = start + held.count, None
+                held.clear()
+    if fit is not None:
         yield close()
 
 
+def fit_runs(points: Iterable[tuple[float, float]], delta: float, method: str = "greedy") -> Iterator[FitRun]:
+    """``fit_blocks`` on single points."""
+    return fit_blocks((tuple(map(list, zip(*block, strict=True))) for block in batched(points, 1024)), delta, method)
+
+
 @dataclass
 class Segment:
     base: int

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import batched
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrand.functions.keys import MAX_KEY
-from keystrand.functions.plr import SEGMENT_PAGES, build_segments, fit_runs, page_lower_bounds
+from keystrand.functions.plr import SEGMENT_PAGES, build_segments, fit_blocks, page_lower_bounds
 from keystrand.operators.numbering import in_order, number_rows, range_bucket
 from keystrand.shared import checkpointed
 
@@ -180,16 +182,36 @@ def prefetch_pages(records: Column, goal: int) -> Column:
     return (2 + F.ceil(records / F.lit(float(goal)))).cast("long")
 
 
+#: Points in a row of packed points; a batch of such rows must fit a Python worker.
+BLOCK_POINTS = 256
+
+
+def _pack_points(batches):
+    for b in batches:
+        if b.num_rows:
+            xs, ys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            at = range(0, b.num_rows, BLOCK_POINTS)
+            packed = [pa.array([v[i : i + BLOCK_POINTS].tobytes() for i in at], pa.binary()) for v in (xs, ys)]
+            yield pa.RecordBatch.from_arrays([b.column("__part").take(list(at)), b.column("__place").take(list(at)), *packed], names=["__part", "__place", "xs", "ys"])
+
+
 def plr_runs(points: DataFrame, delta: float, method: str) -> DataFrame:
-    """Runs of the sorted points ``x, y`` that a line holds within ``delta``: ``start_x, n, slope, intercept, worst``."""
+    """Runs of the sorted points ``x, y`` that a line holds within ``delta``: ``start_x, n, slope, intercept, worst``.
+
+    Where a run begins depends on all before it, so one task fits; the points are sorted in key ranges and
+    come to it packed, in order and one batch at a time.
+    """
+    ordered = in_order(points.select(F.col("x").cast("long").alias("x"), F.col("y").cast("double").alias("y")), "x")
+    packed = ordered.mapInArrow(_pack_points, "__part int, __place long, xs binary, ys binary")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        xs = pdf["x"].tolist()
-        rows = [(xs[r.start], r.count, r.line.slope, r.line.intercept, r.worst) for r in fit_runs(zip(xs, pdf["y"].tolist(), strict=True), delta, method)]
-        return pd.DataFrame(rows, columns=["start_x", "n", "slope", "intercept", "worst"])
+    def fit(batches):
+        blocks = ((np.frombuffer(x.as_py(), np.int64).tolist(), np.frombuffer(y.as_py(), np.float64).tolist()) for b in batches for x, y in zip(b.column("xs"), b.column("ys"), strict=True))
+        for some in batched(fit_blocks(blocks, delta, method), 4096):
+            rows = [(r.base, r.count, r.line.slope, r.line.intercept, r.worst) for r in some]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["start_x", "n", "slope", "intercept", "worst"])
 
-    return points.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "start_x long, n long, slope double, intercept double, worst double")
+    one = packed.repartition(1).sortWithinPartitions("__part", "__place")
+    return one.mapInArrow(fit, "start_x long, n long, slope double, intercept double, worst double")
 
 
 def overflow_islands(segments: DataFrame) -> DataFrame:

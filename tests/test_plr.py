@@ -1,8 +1,11 @@
 import random
+import tracemalloc
 
 import pytest
 
+from keystrand.functions import plr
 from keystrand.functions.plr import OptimalFit, fit_runs
+from keystrand.operators import layout
 
 
 def slopes(points, delta):
@@ -50,3 +53,23 @@ def test_runs_on_a_curve_hold(method):
     points = [(k * 7 + k * k // 500, float(k)) for k in range(1, 20_000)]
     runs = list(fit_runs(points, 10.0, method))
     assert sum(r.count for r in runs) == len(points) and len(runs) > 1 and max(r.worst for r in runs) <= 10 + 1e-6
+
+
+@pytest.mark.parametrize("method", ["greedy", "optimal"])
+def test_a_long_run_is_not_held_in_memory(method, monkeypatch):
+    monkeypatch.setattr(plr, "HELD_BYTES", 1 << 16)
+    tracemalloc.start()
+    (run,) = fit_runs(((float(k * 40 + k % 13 * 3), float(k)) for k in range(100_000)), 10.0, method)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert run.count == 100_000 and peak < 6 << 20
+    assert run.worst == max(abs(run.line(float(k * 40 + k % 13 * 3)) - k) for k in range(100_000))
+
+
+@pytest.mark.parametrize("method", ["greedy", "optimal"])
+def test_runs_of_a_table_are_those_of_one_list(spark, method):
+    points = [(k * 7 + k * k // 50, float(k)) for k in range(1, 12_000)]
+    rows = random.Random(3).sample(points, len(points))
+    got = layout.plr_runs(spark.createDataFrame(rows, "x long, y double").repartition(7), 10.0, method).orderBy("start_x").collect()
+    assert [tuple(r) for r in got] == [(r.base, r.count, r.line.slope, r.line.intercept, r.worst) for r in fit_runs(points, 10.0, method)]
+    assert layout.plr_runs(spark.createDataFrame([], "x long, y double"), 10.0, method).count() == 0
