@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html as html_lib
+import math
 import re
 
 import pyarrow as pa
@@ -43,13 +44,13 @@ class Block:
     """A run of text that block elements delimit.
 
     ``path``: its node in the style tree; ``inside``: it is in an article; ``plain``: no element
-    between it and the article has a class, id or role.
+    between it and the article has a class, id or role; ``element``: its element's place in the page's tree.
     """
 
-    __slots__ = ("path", "inside", "plain", "parts")
+    __slots__ = ("path", "inside", "plain", "element", "parts")
 
-    def __init__(self, path, inside, plain):
-        self.path, self.inside, self.plain, self.parts = path, inside, plain, []
+    def __init__(self, path, inside, plain, element):
+        self.path, self.inside, self.plain, self.element, self.parts = path, inside, plain, element, []
 
     @property
     def judged(self) -> bool:
@@ -82,25 +83,31 @@ def _signature(tag: str, attrs: str) -> tuple[str, set[str], list[str]]:
     return tag + "".join(f".{n.strip()}" for n in names if n.strip()), words, names
 
 
-def parse_blocks(page: str) -> tuple[list[Block], bool]:
+def parse_blocks(page: str, tree: list | None = None) -> tuple[list[Block], bool]:
     """Text blocks of a page in page order, without furniture, and whether it has an article.
 
-    Open elements are kept on a stack of (tag, style path, furniture, article, plain).  Furniture is what
+    ``tree`` takes the page's block elements outside furniture, each as its path, its parent's place in the
+    list and its children: places of elements, and blocks.
+    Open elements are kept on a stack of (tag, style path, furniture, article, plain, place in the tree).  Furniture is what
     its element or its class, id or role names as such; within an article, ``header`` is part of it, and
     a name must be of furniture words alone.
     A ``p`` ends where a block begins; an end tag closes its element and those opened inside it.
     """
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, True)]
+    stack: list[tuple[str, str, bool, bool, bool, int]] = [("", "", False, False, True, 0)]
+    if tree is not None:
+        tree.append(("", -1, []))
     blocks: list[Block] = []
     fresh, has_article, at, end = True, False, 0, len(page)
 
     def add(data: str) -> None:
         nonlocal fresh
-        _, path, noise, inside, plain = stack[-1]
+        _, path, noise, inside, plain, element = stack[-1]
         if noise or not data:
             return
         if fresh:
-            blocks.append(Block(path, inside, plain))
+            blocks.append(Block(path, inside, plain, element))
+            if tree is not None:
+                tree[element][2].append(blocks[-1])
             fresh = False
         blocks[-1].parts.append(data)
 
@@ -152,7 +159,7 @@ def parse_blocks(page: str) -> tuple[list[Block], bool]:
         if tag in VOID:
             continue
         sig, words, names = _signature(tag, m[3]) if m[3] and "=" in m[3] else (tag, (), [])
-        _, path, noise, inside, plain = stack[-1]
+        _, path, noise, inside, plain, element = stack[-1]
         article = tag in ("article", "main") or tag in ("div", "section") and not inside and bool(ARTICLE_WORDS & set(words)) and not NOISE_WORDS & set(words)
         if article and not noise:
             has_article = True
@@ -165,7 +172,13 @@ def parse_blocks(page: str) -> tuple[list[Block], bool]:
         if article and inside and any(x[0] == "article" for x in stack) and tag == "article":
             noise = True  # an article within an article is a reader comment
         plain = article and not inside or plain and (tag not in BLOCK or sig == tag)
-        stack.append((tag, f"{path}/{sig}" if tag in BLOCK else path, noise, inside or article, plain))
+        if tag in BLOCK:
+            path = f"{path}/{sig}"
+            if tree is not None and not noise:
+                tree[element][2].append(len(tree))
+                tree.append((path, element, []))
+                element = len(tree) - 1
+        stack.append((tag, path, noise, inside or article, plain, element))
     return blocks, has_article
 
 
@@ -173,32 +186,123 @@ def _key(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+def _text_key(path: str) -> int:
+    """The leaf of the style tree that the text directly in an element is."""
+    return _key(path, "#text")
+
+
+def _page_rows(page: str):
+    """What a page adds to its host's tree: ``node, parent, depth, kind, item, share``."""
+    tree: list = []
+    parse_blocks(page, tree)
+    texts = [{x: t for x in children if isinstance(x, Block) and (t := x.text())} for _, _, children in tree]
+    keys = [_key(path) for path, _, _ in tree]
+    depths, once, shares = [0] * len(tree), {}, [SHARE] * len(tree)
+    for i, (path, parent, children) in enumerate(tree):
+        children = [x for x in children if not isinstance(x, Block) or x in texts[i]]
+        share = SHARE // max(1, len(children))
+        for x in children:
+            if not isinstance(x, Block):
+                shares[x] = share
+        if parent >= 0:
+            depths[i] = depths[parent] + 1
+        style = _key(*("#text" if isinstance(x, Block) else tree[x][0] for x in children))
+        yield keys[i], keys[parent] if parent >= 0 else 0, depths[i], STYLE, style, shares[i]
+        leaf = _text_key(path)
+        for x, text in texts[i].items():
+            yield leaf, keys[i], depths[i] + 1, TEXT, 0, share
+            once[leaf, keys[i], depths[i] + 1, PAGE if x.judged else PLAIN, 0, 0] = None
+            if x.judged:
+                once.update(((leaf, keys[i], depths[i] + 1, FEATURE, _key(w), 0), None) for w in text.lower().split())
+    yield from once
+
+
 def _style_rows(batches):
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     for b in batches:
-        hosts, nodes, contents = [], [], []
-        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            seen = {(_key(x.path), _key(t)) for x in parse_blocks(page)[0] if x.judged and (t := x.text())} if page else ()
-            for node, content in seen:
-                hosts.append(host)
-                nodes.append(node)
-                contents.append(content)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(contents, pa.int64())], names=["host", "node", "content"])
-
-
-def style_importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The site style tree of each host: ``host, node, pages, importance``.
-
-    A node is a path of block elements with their class, id and role; pages of a host are merged on
-    it.  Its importance is the entropy of its contents over the pages that have it, divided by the
-    logarithm of their number: 0 where all pages show the same, 1 where each shows its own.  A node
-    of one page has importance 1.  Counts per (host, node, content) are aggregated map-side, so a
-    host with a third of all pages does not meet in one task.
+        hosts, rows = [], []
+        for host, page in zip(b.column(0), b.column(1), strict=True):
+            more = list(_page_rows(page.as_py() or ""))
+            hosts += [host.as_py()] * len(more)
+            rows += more
+        columns = zip(*rows, strict=True) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["host", "node", "parent", "depth", "kind", "item", "share"])
+
+
+#: Kinds of rows: an element and its style; text; a page with text that the tree judges; a word of it; plain article text.
+STYLE, TEXT, PAGE, FEATURE, PLAIN = range(5)
+#: The unit of a child's share of its parent, and how fast the weight of the children falls with the styles.
+SHARE = 1 << 20
+GAMMA = 0.9
+
+
+def _composite(min_pages: int, min_importance: float):
+    """Goes up the trees: rows come by host, deepest nodes first; held are the sums of parents yet to come."""
+
+    def run(batches):
+        at, sums, clean = None, {}, set()
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if r["host"] != at:
+                    at, sums, clean = r["host"], {}, set()
+                node, text = r["node"], r["times"] == 0
+                if text:
+                    # plain text of an article always counts; else one minus the mean entropy of the words over the pages
+                    m, words = r["pages"], r["words"]
+                    imp = 1.0 if r["plain"] or m < 2 or not words else 1 - r["word_logs"] / words / math.log(m)
+                    noisy = not r["plain"] and m >= min_pages and imp < min_importance
+                else:
+                    n = r["times"]
+                    own = 1.0 if n < 2 else (math.log(n) - r["nlogn"] / n) / math.log(n)
+                    fade = GAMMA ** r["styles"]
+                    imp = (1 - fade) * own + fade * sums.pop(node, 0.0) / (SHARE * n)
+                    noisy = imp < min_importance and node not in clean
+                    clean.discard(node)
+                sums[r["parent"]] = sums.get(r["parent"], 0.0) + r["share"] * imp
+                if not noisy:
+                    clean.add(r["parent"])
+                out.append((at, node, text, r["pages"] if text else r["times"], imp, noisy))
+            columns = zip(*out, strict=True) if out else [()] * 6
+            types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "node", "text", "pages", "importance", "noisy"])
+
+    return run
+
+
+def style_importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_importance: float = 0.3) -> DataFrame:
+    """The site style tree of each host: ``host, node, text, pages, importance, noisy``.
+
+    An element node is a path of block elements with their class, id and role; occurrences on the pages
+    of a host are merged on it.  Its style nodes are the sequences of its children.  Text directly in an
+    element is a leaf (``text``).  Importances are those of the method:
+
+    - a leaf: 1 minus the mean over its words of ln(pages with the word) / ln(pages with the leaf), 1 on one page;
+    - the presentation of an element: the entropy of its styles over its n occurrences, to base n; 1 if n is 1;
+    - composite: (1 - g^l) presentation + g^l mean importance of the children over the styles as often as they occur,
+      for l styles and g 0.9.
+
+    A node is ``noisy`` if its importance and that of all nodes under it is under ``min_importance``; leaves on
+    fewer than ``min_pages`` pages are not.  Counts per (host, node, kind, item) are aggregated map-side; only nodes, which follow the templates,
+    meet by host, and pass bottom-up as a stream.
     """
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_style_rows, "host string, node long, content long")
-    counts = rows.groupBy("host", "node", "content").agg(F.count("*").alias("n"))
-    sums = counts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"))
-    entropy = F.ln("pages") - F.col("nlogn") / F.col("pages")
-    return sums.select("host", "node", "pages", F.when(F.col("pages") > 1, entropy / F.ln("pages")).otherwise(1.0).alias("importance"))
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_style_rows, "host string, node long, parent long, depth int, kind int, item long, share long")
+    counts = rows.groupBy("host", "node", "kind", "item").agg(F.count("*").alias("n"), F.sum("share").alias("share"), F.max("parent").alias("parent"), F.max("depth").alias("depth"))
+    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
+    nodes = counts.groupBy("host", "node").agg(
+        F.max("parent").alias("parent"),
+        F.max("depth").alias("depth"),
+        F.sum("share").alias("share"),
+        F.coalesce(of(STYLE, F.col("n")), F.lit(0)).alias("times"),
+        F.count(F.when(F.col("kind") == STYLE, 1)).alias("styles"),
+        of(STYLE, F.col("n") * F.ln("n")).alias("nlogn"),
+        F.coalesce(of(PAGE, F.col("n")), F.lit(0)).alias("pages"),
+        F.count(F.when(F.col("kind") == FEATURE, 1)).alias("words"),
+        of(FEATURE, F.ln("n")).alias("word_logs"),
+        F.max(F.col("kind") == PLAIN).alias("plain"),
+    )
+    ordered = nodes.repartition("host").sortWithinPartitions("host", F.desc("depth"), "node")
+    return ordered.mapInArrow(_composite(min_pages, min_importance), "host string, node long, text boolean, pages long, importance double, noisy boolean")
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_importance: float = 0.3) -> DataFrame:
@@ -206,8 +310,8 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
 
     Page furniture that the markup names (menus, headers, footers, sidebars, adverts, notices,
     forms, comments, scripts, styles) has importance 0 by its presentation, and so has all outside
-    the article of a page that has one.  Of what is left, branches go whose node in the host's style
-    tree is on ``min_pages`` pages or more and has an importance under ``min_importance``.  Plain
+    the article of a page that has one.  Of what is left, text goes that is noisy in the host's style
+    tree: on ``min_pages`` pages or more and of an importance under ``min_importance``.  Plain
     article text (paragraphs, headings, lists without a style of their own) has importance 1 by its
     presentation, whatever it repeats.  Blocks have their character references decoded and white space turned into one space;
     they are joined by one newline in page order.  Null and empty html give an empty text; null
@@ -218,8 +322,8 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     templates, not of pages.
     """
     low = (
-        style_importance(pages, url_col=url_col, html_col=html_col)
-        .where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance))
+        style_importance(pages, url_col=url_col, html_col=html_col, min_pages=min_pages, min_importance=min_importance)
+        .where("text AND noisy")
         .groupBy("host")
         .agg(F.collect_list("node").alias("low"))
     )
@@ -239,7 +343,7 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
                 if has_article:
                     blocks = [x for x in blocks if x.inside]
                 if drop := set(drop.as_py() or ()):
-                    blocks = [x for x in blocks if not x.judged or _key(x.path) not in drop]
+                    blocks = [x for x in blocks if not x.judged or _text_key(x.path) not in drop]
                 texts.append("\n".join(t for x in blocks if (t := x.text())))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
